@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash
+from . import chat, exact_dedup, minhash, mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op5_mix_sources": mixing.op5_mix_sources,
+        "op10_chat_format": chat.op10_chat_format,
     }
 
 
@@ -20,4 +22,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": minhash.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op5_mix_sources": mixing.OP5_SQL,
+        "op10_chat_format": chat.OP10_SQL,
     }
