@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprint, minhash, mixing
+from . import chat, exact_dedup, fingerprint, minhash, mixing, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_pack": packing.op6_pack,
         "op10_chat_format": chat.op10_chat_format,
     }
 
