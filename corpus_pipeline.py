@@ -1,4 +1,62 @@
-STAGES = []
+"""A training corpus from raw documents: filter, deduplicate, mix and pack."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.llm.common import documents, materialize
+from wayfold.llm.exact_dedup import exact_dedup
+from wayfold.llm.minhash import near_dedup
+from wayfold.llm.mixing import mix_sources
+from wayfold.llm.packing import default_vocabulary, pack_documents
+from wayfold.llm.quality import score_quality
+
+_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject (score of 0.5 or more)."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_quality(docs.select(*_COLUMNS), labels).where("score >= 0.5").select(*_COLUMNS)
+
+
+def _stay(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows whose ids were kept, each id once. The ids grow with the input, so they are never broadcast."""
+    ids = decided.where("kept").select("doc_id").hint("merge")
+    return docs.select(*_COLUMNS).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return _stay(docs, exact_dedup(docs))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that five-word shingles link at 0.8."""
+    return _stay(docs, near_dedup(docs))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: dropped, once, or repeated."""
+    taken = mix_sources(docs).where("copies > 0").select("doc_id", "copies").hint("merge")
+    out = docs.select(*_COLUMNS).join(taken, "doc_id")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*_COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of windows of 2048 tokens."""
+    return pack_documents(docs, default_vocabulary())
+
+
+STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mix), ("pack", pack)]
+
+#: A fitted classifier and a tokenizer are not SQL; tests hold each stage against brute force instead.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprint, minhash, mixing, packing
+from . import chat, exact_dedup, fingerprint, minhash, mixing, packing, quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": minhash.op1_minhash_near_dedup,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_quality": quality.op3_quality,
         "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_pack": packing.op6_pack,
