@@ -55,13 +55,17 @@ class Rolling:
         return mix(h ^ ((end - start).astype(U64) * U64(0xD6E8FEB86659FD93)))
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without white space, and the first word's number for each text (and the total)."""
+#: All but ASCII letters and digits and bytes of longer characters.
+NOT_WORD = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs without bytes of ``gap`` (white space), and the first word's number for each text (and the total)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     ink = np.zeros(n + 1, bool)
-    np.logical_not(_IS_SPACE[data], out=ink[:n])
+    np.logical_not(gap[data], out=ink[:n])
     begins = np.zeros(n + 1, bool)
     begins[off] = True
     start, end = ink[:n].copy(), ink[:n].copy()
