@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprint, minhash, mixing, packing, quality, toxicity
+from . import chat, exact_dedup, fingerprint, minhash, mixing, packing, pii, quality, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_fingerprint": fingerprint.op4_fingerprint,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_pack": packing.op6_pack,
+        "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,
         "op10_chat_format": chat.op10_chat_format,
     }
