@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, fingerprint, minhash, mixing, packing, pii, quality, toxicity
+from . import chat, exact_dedup, fingerprint, minhash, mixing, packing, pii, quality, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_pack": packing.op6_pack,
         "op7_pii": pii.op7_pii,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_suffix_dedup": substring.op9_suffix_dedup,
         "op10_chat_format": chat.op10_chat_format,
     }
 
