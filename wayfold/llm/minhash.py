@@ -15,8 +15,10 @@ from .kernels import U64, lower_ascii, mix, shingles, text_sum
 
 #: 40 bands of 5 of 200 ranks: a pair at similarity 0.8 is missed with probability (1 - 0.8**5)**40 = 1e-7.
 BANDS, ROWS = 40, 5
-#: A pair at 0.8 agrees in 160 +- 6 of 200 ranks; with fewer than this many it is not compared further.
-LEAST_AGREEING = 120
+#: Ranks of 200 that must agree for a pair to be worth an early comparison; it decides nothing else.
+LIKELY = 150
+#: Documents of a bucket compared with each other at once.
+BLOCK = 512
 
 
 def superminhash(h: np.ndarray, doc: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -86,15 +88,97 @@ def _alike(least: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, _ = utf8_bytes(batch.column("sketch_a"))
-            b, _ = utf8_bytes(batch.column("sketch_b"))
             n = batch.num_rows
-            keep = (a.reshape(n, -1) == b.reshape(n, -1)).sum(axis=1) >= least if n else np.zeros(0, bool)
-            yield batch.select(["u", "v"]).filter(pa.array(keep))
+            if n:
+                a, b = (utf8_bytes(batch.column(c))[0].reshape(n, -1) for c in ("sketch_a", "sketch_b"))
+                yield batch.select(["u", "v"]).filter(pa.array((a == b).sum(axis=1) >= least))
 
     return run
 
 
+def _brief(k: int) -> Callable:
+    """(doc_id, text) -> doc_id, n_shingles, brief: the distinct top 16 bits of its shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = utf8_bytes(batch.column("text"))
+            for i, j in spans_of(off):
+                h, doc = shingles(lower_ascii(raw[off[i] : off[j]]), off[i : j + 1] - off[i], k)
+                n = np.bincount(doc, minlength=j - i)
+                short = (h >> U64(48)).astype(np.uint16)
+                new = np.ones(len(h), bool)
+                new[1:] = (short[1:] != short[:-1]) | (doc[1:] != doc[:-1])
+                parts = np.split(short[new], np.cumsum(np.bincount(doc[new], minlength=j - i))[:-1])
+                brief = pa.array([x.tobytes() for x in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(n.astype(np.int64)), brief], names=["doc_id", "n_shingles", "brief"])
+
+    return run
+
+
+def _block_pairs(per_cent: int) -> Callable:
+    """Rows sorted by (key, i, j), a group being two blocks of a bucket -> pairs that may reach per_cent.
+
+    Shared shingles of all pairs of two blocks are one matrix product of their 0/1 incidences. 16-bit values can
+    only join shingles, so adding what either side lost bounds the true count from above: no link is missed.
+    """
+
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        doc, label, n, block = (rows.column(c).to_numpy() for c in ("doc_id", "label", "n_shingles", "block"))
+        raw, off = utf8_bytes(rows.column("brief"))
+        value, size = raw.view(np.uint16), np.diff(off) // 2
+        row = np.repeat(np.arange(len(doc)), size)
+        often = np.flatnonzero(np.bincount(value, minlength=1 << 16) > 1)
+        place = np.full(1 << 16, -1)
+        place[often] = np.arange(len(often))
+        left, right = (np.flatnonzero(block == x) for x in (block.min(), block.max()))
+        shared = np.zeros((len(left), len(right)), np.float32)
+        for lo in range(0, len(often), 4096):
+            at = place[value]
+            here = (at >= lo) & (at < lo + 4096)
+            grid = np.zeros((len(doc), min(4096, len(often) - lo)), np.float32)
+            grid[row[here], at[here] - lo] = 1
+            shared += grid[left] @ grid[right].T
+        lost = n - size
+        most = shared + np.minimum(lost[left][:, None], lost[right][None, :])
+        fits = 100 * most >= per_cent * (n[left][:, None] + n[right][None, :] - most)
+        fits &= (label[left][:, None] != label[right][None, :]) & (doc[left][:, None] != doc[right][None, :])
+        a, b = np.nonzero(fits)
+        u, v = np.maximum(doc[left][a], doc[right][b]), np.minimum(doc[left][a], doc[right][b])
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            ids = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            cuts = [0, *(np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1), len(ids)] if len(ids) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                group = tuple(ids[lo])
+                if held and group != last:
+                    yield compare(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = group
+        if held:
+            yield compare(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def _across(rows: DataFrame, briefs: DataFrame, per_cent: int, block: int) -> DataFrame:
+    """Rows (key, doc_id, label) -> distinct pairs (u, v) of a bucket, of different labels, that may be links.
+
+    A bucket is cut into blocks of about ``block`` documents, and each two blocks are compared in one place; no
+    task holds more than two blocks, and pairs that are not links are never rows.
+    """
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    each = each.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "label")
+    full = each.join(briefs, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return full.mapInArrow(_block_pairs(per_cent), "u long, v long").distinct()
+
+
 def _verifier(k: int, per_cent: int) -> Callable:
     """Keep pairs of texts with 100 * intersection >= per_cent * union of their full shingle sets."""
 
@@ -118,25 +202,39 @@ def _verifier(k: int, per_cent: int) -> Callable:
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """pairs (u, v), distinct -> those that hold on full sets. Only the texts that some pair names are kept aside."""
-    named = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = materialize(docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """pairs (u, v), distinct -> those that hold on full sets."""
     side = lambda c, name: texts.select(F.col("doc_id").alias(c), F.col("text").alias(name))
     full = pairs.join(side("u", "text_a"), "u").join(side("v", "text_b"), "v")
     return materialize(full.select("u", "v", "text_a", "text_b").mapInArrow(_verifier(k, per_cent), "u long, v long"))
 
 
-def near_dedup(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, bands: int = BANDS, rows: int = ROWS, least_agreeing: int = LEAST_AGREEING) -> DataFrame:
+def _similar(pairs: DataFrame, facts: DataFrame, least: int) -> DataFrame:
+    """pairs (u, v), distinct -> those whose sketches agree in enough ranks."""
+    side = lambda c, x: facts.select(F.col("doc_id").alias(c), F.col("sketch").alias(f"sketch_{x}"))
+    full = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "sketch_a", "sketch_b")
+    return full.mapInArrow(_alike(least), "u long, v long")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several labels: key, doc_id, label. A document without label is its own."""
+    out = members.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    mixed = out.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+    return out.join(mixed, "key")
+
+
+def near_dedup(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, bands: int = BANDS, rows: int = ROWS, likely: int = LIKELY) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts are lower-cased (A-Z) and cut at ASCII white space; documents whose sets of ``shingle_words``-word
     shingles reach ``per_cent`` similarity are linked, and component_id is the smallest doc_id reachable.
 
     Equal sets collapse to their smallest id first (128-bit set hash). Every representative is compared with
-    one leader, the smallest id it shares a band bucket with; a group of near copies is linked through its
-    leader in one pass. Then, in buckets that still hold several labels, every pair with different labels is
-    compared, so no link between groups is lost and none inside a linked group is spent. Nothing is capped.
+    one leader, the smallest id it shares a band bucket with, then with a second, drawn anew for each bucket;
+    so a group of near copies is linked through leaders, at a cost in proportion to its size. Last, in buckets
+    that still hold several components, all pairs in different ones are bounded, block by block, from short
+    hashes of their full sets, and those that may be links compared, so no link between groups is lost. Nothing
+    is capped.
 
     Null and empty texts have no shingles and link with nothing. Rows without doc_id are returned unlinked
     (component null, kept false). Repeated rows share one component. Other columns are ignored.
@@ -150,18 +248,25 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, band
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).where("leader < last")
     members = materialize(keyed.join(buckets.drop("last"), "key"))
     first = members.where("doc_id > leader").groupBy("doc_id").agg(F.min("leader").alias("v")).select(F.col("doc_id").alias("u"), "v")
-    led = _verified(materialize(first), src, shingle_words, per_cent)
-
-    label = F.coalesce("v", "doc_id").alias("label")
-    labelled = members.join(led.select(F.col("u").alias("doc_id"), "v"), "doc_id", "left").select("key", "doc_id", label)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    facts = reps.select("doc_id", "n_shingles", "sketch")
-    rest = materialize(labelled.join(mixed, "key").join(facts, "doc_id"))
-    side = lambda x: rest.select("key", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "label", "n_shingles", "sketch")))
-    fits = "doc_id_a > doc_id_b AND label_a <> label_b AND 100 * least(n_shingles_a, n_shingles_b) >= {0} * greatest(n_shingles_a, n_shingles_b)"
-    pairs = side("a").join(side("b"), "key").where(fits.format(per_cent)).select(F.col("doc_id_a").alias("u"), F.col("doc_id_b").alias("v"), "sketch_a", "sketch_b")
-    pairs = materialize(pairs.mapInArrow(_alike(least_agreeing), "u long, v long").distinct())
-    found = connected_components(led.union(_verified(pairs, src, shingle_words, per_cent)))
+    named = members.select("doc_id").distinct().hint("merge")  # grows with the input: never broadcast
+    texts = materialize(src.join(named, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    links = _verified(materialize(first), texts, shingle_words, per_cent)
+
+    # a second leader, another for each bucket, gathers near copies that are not like the first
+    labelled = _labelled(members, links.select(F.col("u").alias("doc_id"), F.col("v").alias("label")))
+    facts = reps.select("doc_id", "sketch")
+    drawn = F.min(F.struct(F.xxhash64("key", "doc_id").alias("h"), "doc_id", "label")).alias("lead")
+    leads = labelled.groupBy("key").agg(drawn).select("key", F.col("lead.doc_id").alias("lead"), F.col("lead.label").alias("lead_label"))
+    star = labelled.join(leads, "key").where("label <> lead_label")
+    star = star.select(F.greatest("doc_id", "lead").alias("u"), F.least("doc_id", "lead").alias("v"))
+    star = materialize(_similar(star.distinct(), facts, likely))
+    links = links.union(_verified(star, texts, shingle_words, per_cent))
+
+    # then every pair of a bucket that is still in two components
+    parts = connected_components(links).select(F.col("id").alias("doc_id"), F.col("component").alias("label"))
+    briefs = materialize(texts.mapInArrow(_brief(shingle_words), "doc_id long, n_shingles long, brief binary"))
+    pairs = materialize(_across(_labelled(members, parts), briefs, per_cent, BLOCK))
+    found = connected_components(links.union(_verified(pairs, texts, shingle_words, per_cent)))
 
     groups = sets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
     out = signed.join(groups, ["set_a", "set_b"], "left")
