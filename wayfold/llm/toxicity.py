@@ -205,13 +205,14 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     highest logits of all documents then calibrates the score.
     """
     net = Network.fresh(rng := np.random.default_rng(seed))
-    raw, off = utf8_bytes(pa.array(texts, pa.large_string()))
-    parts = [read(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in spans_of(off)]
-    w = _join(parts)
     y = np.asarray(labels, np.float32)
+    net.slope, net.shift = 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    if not len(y) or y.min() == y.max():
+        return net
+    raw, off = utf8_bytes(pa.array(texts, pa.large_string()))
+    w = _join(parts := [read(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in spans_of(off)])
     doc = np.repeat(np.arange(len(y)), np.diff(w.first))
-    if not len(doc) or y.min() == y.max():
-        net.slope, net.shift = 0.0, float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
+    if not (y[doc] > 0).any() or not (y[doc] == 0).any():  # one label has no words at all
         return net
     seen = np.unique(doc[:, None] * np.int64(_WORDS) + w.word[w.index])
     sd, sw = seen // _WORDS, seen % _WORDS
