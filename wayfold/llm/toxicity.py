@@ -15,7 +15,7 @@ from .kernels import NOT_WORD, U64, Rolling, lower_ascii, mix, words
 from .quality import labelled_sample
 
 #: At most this many labelled documents are trained on.
-SAMPLE = 6000
+SAMPLE = 4000
 #: Words in a window, and words from one window's start to the next: windows overlap by 8 words.
 WINDOW, STRIDE = 32, 24
 _WORDS, _GRAMS, _EMBED, _HIDDEN = 1 << 14, 1 << 12, 8, 8
