@@ -61,11 +61,14 @@ def resemblance(a: Column, b: Column) -> Column:
 def with_next(rows: DataFrame, order: list[str], take: list[str]) -> DataFrame:
     """Adds next_<c> for each column c in ``take``: its value in the following row by ``order``; after the last, the first row's.
 
-    Rows are dealt by range of the order and looked up within their range; the last row of a range takes the
-    first of the next range that has rows, from a table with one row per range. No task holds more than a range.
+    Rows are dealt by range of the first, numeric order column (null first), between its approximate quantiles,
+    and looked up within their range; the last row of a range takes the first of the next range that has rows,
+    from a table with one row per range. No task holds more than a few ranges, and rows move once.
     """
-    spark = rows.sparkSession
-    ranged = rows.repartitionByRange(shuffle_partitions(spark), *order).withColumn("part", F.spark_partition_id())
+    n = 2 * shuffle_partitions(rows.sparkSession)
+    cuts = sorted(set(rows.approxQuantile(order[0], [i / n for i in range(1, n)], 0.1 / n)))
+    part = F.size(F.filter(F.array(*(F.lit(float(c)) for c in cuts)), lambda c: c <= F.col(order[0]))) if cuts else F.lit(0)
+    ranged = rows.withColumn("part", F.when(F.col(order[0]).isNull(), -1).otherwise(part))
     here = Window.partitionBy("part").orderBy(*order)
     taken = F.struct(*take)
     ranged = ranged.withColumn("nx", F.lead(taken).over(here)).withColumn("nth", F.row_number().over(here))
