@@ -47,6 +47,17 @@ def test_near_dedup(docs, rows, k):
     assert got == {i: (len(sets[i]), comp[i], comp[i] == i) for i in sets}
 
 
+@pytest.mark.parametrize("block", [2, 7, 512])
+def test_blocks_lose_no_pair(spark, docs, rows, block):
+    member = [(key, i, 100 if i % (2 + key) else i) for key in range(3) for i, t in rows if shingles(t, 2)]
+    briefs = docs.select("doc_id", "text").mapInArrow(minhash._brief(2), "doc_id long, n_shingles long, brief binary")
+    found = minhash._across(spark.createDataFrame(member, "key long, doc_id long, label long"), briefs, 80, block).collect()
+    got, sets = {(r.u, r.v) for r in found}, {i: shingles(t, 2) for i, t in rows}
+    alike = lambda a, b, least: 100 * len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])
+    want = {(u, v) for k, u, x in member for j, v, y in member if k == j and u > v and x != y and alike(u, v, 80)}
+    assert want and want <= got and len(got) == len(found) and all(alike(u, v, 79) for u, v in got)
+
+
 def test_exact_dedup_survives_hash_collisions(docs, rows):
     norm = {i: b"".join((t or "").encode().split()) for i, t in rows}
     groups: dict[bytes, list[int]] = {}

@@ -168,12 +168,23 @@ def _block_pairs(per_cent: int) -> Callable:
 def _across(rows: DataFrame, briefs: DataFrame, per_cent: int, block: int) -> DataFrame:
     """Rows (key, doc_id, label) -> distinct pairs (u, v) of a bucket, of different labels, that may be links.
 
-    A bucket is cut into blocks of about ``block`` documents, and each two blocks are compared in one place; no
-    task holds more than two blocks, and pairs that are not links are never rows.
+    The most frequent label of a bucket is its major side: its rows need no comparison with each other, only with
+    the others. Both sides are cut into blocks of about ``block`` documents, and each two blocks of which one is
+    minor are compared in one place; no task holds more than two blocks, and pairs that are not links are never rows.
+    A bucket of at most ``block`` rows is one block.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    counts = rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("major"), F.sum("n").alias("n"))
+    cut = lambda n: F.ceil(n / block).cast("int")
+    whole = F.col("n") <= block
+    minors = F.when(whole, F.lit(1)).otherwise(cut(F.col("n") - F.col("major.n"))).alias("minors")
+    majors = F.when(whole, F.lit(0)).otherwise(cut(F.col("major.n"))).alias("majors")
+    sizes = sizes.select("key", F.when(~whole, F.col("major.label")).alias("major"), minors, majors)
+    place = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    is_major = F.col("label") == F.col("major")
+    dealt = rows.join(sizes, "key").withColumn("block", F.when(is_major, F.col("minors") + place(F.col("majors"))).otherwise(place(F.col("minors"))))
+    last = F.when(is_major, F.col("minors")).otherwise(F.col("minors") + F.col("majors")) - 1
+    each = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     each = each.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "label")
     full = each.join(briefs, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return full.mapInArrow(_block_pairs(per_cent), "u long, v long").distinct()
@@ -233,8 +244,8 @@ def near_dedup(docs: DataFrame, shingle_words: int = 5, per_cent: int = 80, band
     one leader, the smallest id it shares a band bucket with, then with a second, drawn anew for each bucket;
     so a group of near copies is linked through leaders, at a cost in proportion to its size. Last, in buckets
     that still hold several components, all pairs in different ones are bounded, block by block, from short
-    hashes of their full sets, and those that may be links compared, so no link between groups is lost. Nothing
-    is capped.
+    hashes of their full sets, and those that may be links compared, so no link between groups is lost. Only
+    documents outside a bucket's largest component are blocked against the rest. Nothing is capped.
 
     Null and empty texts have no shingles and link with nothing. Rows without doc_id are returned unlinked
     (component null, kept false). Repeated rows share one component. Other columns are ignored.
