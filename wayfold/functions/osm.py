@@ -6,9 +6,37 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Speed by road class, metres a second; the default; least and most.
-CLASS_SPEED = {"motorway": 33.33, "track": 4.17}
+CLASS_SPEED = {
+    "motorway": 33.33, "motorway_link": 22.22, "trunk": 27.78, "trunk_link": 19.44, "primary": 19.44, "primary_link": 16.67, "secondary": 16.67,
+    "secondary_link": 13.89, "tertiary": 13.89, "tertiary_link": 11.11, "residential": 8.33, "living_street": 8.33, "service": 5.56, "track": 4.17,
+}
 DEFAULT_SPEED, LEAST_SPEED, MOST_SPEED = 11.11, 4.0, 40.0
 
+# Tags that close a way to a mode, and road classes that are never open to it.
+CLOSED = {
+    "walk": {"area": ["yes"], "access": ["no", "private"], "foot": ["no", "private", "use_sidepath"], "pedestrian": ["no"]},
+    "drive": {"area": ["yes"], "access": ["no", "private"], "motor_vehicle": ["no", "private"], "motorcar": ["no", "private"]},
+}
+NEVER = {
+    "walk": ["motorway", "motorway_link", "trunk", "trunk_link", "construction", "proposed", "raceway", "bus_guideway"],
+    "drive": ["footway", "path", "cycleway", "steps", "bridleway", "corridor", "pedestrian", "platform", "construction", "proposed", "raceway", "bus_guideway"],
+}
+
+
+def open_to(tags: Column, mode: str) -> Column:
+    """Whether a way is open to ``walk`` or ``drive``, never null. Walkers may also use platforms without a road class."""
+    closed = F.lit(False)
+    for key, values in CLOSED[mode].items():
+        closed = closed | F.coalesce(tags[key].isin(values), F.lit(False))
+    platform = F.coalesce(tags["railway"] == "platform", F.lit(False)) | F.coalesce(tags["public_transport"] == "platform", F.lit(False))
+    bare = platform if mode == "walk" else F.lit(False)
+    return ~closed & F.when(tags["highway"].isNull(), bare).otherwise(~tags["highway"].isin(NEVER[mode]))
+
+
+def way_name(tags: Column) -> Column:
+    """The first present of name, official name and reference, trimmed; null if nothing is left."""
+    return F.nullif(F.trim(F.coalesce(tags["name"], tags["official_name"], tags["ref"])), F.lit(""))
+
 
 def max_speed(text: Column) -> Column:
     """A maxspeed tag in metres a second; null where it has none: the first of a list, in miles or kilometres an hour."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine
 from ..plans.lineage import written
 
 #: Width of a departure bucket, seconds; the largest delay believed.
@@ -87,3 +88,28 @@ def relax(edges: DataFrame, sources: DataFrame, n: int) -> DataFrame:
         best = best.unionByName(step).groupBy("node").agg(F.min(F.struct("dist", "root")).alias("m")).select("node", F.col("m.dist").alias("dist"), F.col("m.root").alias("root"))
         best = written(best)
     return best
+
+
+def affected(old: DataFrame, new: DataFrame, radius_m: float) -> DataFrame:
+    """Stops whose walks must be built again: changed ones, and new stops near a changed one's old or new place.
+
+    Both sides meet on a grid whose cells are at least the radius wide (up to 83 degrees of latitude), so a place
+    meets its own cell and the eight around it. Stops without coordinates can be changed but not near.
+    """
+    changed = differences(old, new, "stop_index", ["lat", "lon"]).where("status <> 'same'").select("stop_index")
+    places = old.select("stop_index", "lat", "lon").unionByName(new.select("stop_index", "lat", "lon")).join(changed, "stop_index", "left_semi").select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
+    size = radius_m / 111000.0
+    wide = size * 8.3  # a degree of longitude shrinks to an eighth at 83 degrees
+    y, x = F.floor(F.col("lat") / size).alias("y"), F.floor(F.col("lon") / wide).alias("x")
+    around = F.explode(F.array(*(F.struct((y + a).alias("y"), (x + b).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1)))).alias("g")
+    left = places.select(F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), around).select("lat_a", "lon_a", "g.*")
+    right = new.select("stop_index", "lat", "lon", y, x)
+    near = left.join(right, ["y", "x"]).where(haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat"), F.col("lon")) <= radius_m)
+    return changed.unionByName(near.select("stop_index")).distinct()
+
+
+def invalidate(profiles: DataFrame, changed: DataFrame, key: str, trips: str) -> DataFrame:
+    """Profile points without those that use a changed trip; points that only walk stay."""
+    used = profiles.select(key, F.explode(trips).alias("trip_index"))
+    gone = used.join(changed.select("trip_index").distinct(), "trip_index", "left_semi").select(key).distinct()
+    return profiles.join(gone, key, "left_anti")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import routing, timetable
-from ..sources.fixture import duck, network
+from ..operators import journeys, routing, timetable
+from ..sources.fixture import _HAV, duck, network
 
 DOW = 3
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,6 +370,54 @@ def street_forest(n):
     return timetable.relax(_edges(n), n["d_stops"].where("stop_index % 20 = 1").select(F.col("stop_index").alias("node")), 4)
 
 
+_OVER = "SELECT trip_index, line_index, pos, stop_index, CAST(arr_s - CASE WHEN trip_index % 5 = 0 THEN 50 * pos ELSE 0 END AS INT) AS arr_s, CAST(dep_s - CASE WHEN trip_index % 5 = 0 THEN 50 * pos ELSE 0 END AS INT) AS dep_s FROM d_stop_times WHERE service_dow = 3"
+
+
+@_query(rounds_sql(0, """SELECT query_id, stop, min(arr) AS arr FROM (WITH RECURSIVE c AS (
+  SELECT query_id, line_index, pos, arg_min(trip_index, dep_s * 1000000000000 + trip_index) AS trip, min(dep_s) AS dep FROM l0 JOIN st ON stop = stop_index AND dep_s >= arr GROUP BY 1, 2, 3
+), f AS (
+  SELECT DISTINCT query_id, line_index, -1 AS pos, CAST(NULL AS BIGINT) AS trip, CAST(NULL AS INT) AS stop, CAST(NULL AS INT) AS arr FROM c
+  UNION ALL SELECT f.query_id, f.line_index, f.pos + 1, CASE WHEN c.trip IS NULL THEN f.trip WHEN f.trip IS NULL OR c.dep < s.dep_s THEN c.trip ELSE f.trip END, s.stop_index, s.arr_s
+  FROM f LEFT JOIN st s ON s.trip_index = f.trip AND s.pos = f.pos + 1 LEFT JOIN c ON c.query_id = f.query_id AND c.line_index = f.line_index AND c.pos = f.pos + 1 WHERE f.pos < 7
+) SELECT * FROM f WHERE stop IS NOT NULL) z GROUP BY 1, 2""", _OVER))
+def overtaking_ride(n):
+    """W-08, R-04 .. R-06: one vehicle, changed along its line wherever another leaves earlier."""
+    early = F.when(F.col("trip_index") % 5 == 0, F.col("pos") * 50).otherwise(0)
+    st = _day(n).withColumn("arr_s", (F.col("arr_s") - early).cast("int")).withColumn("dep_s", (F.col("dep_s") - early).cast("int"))
+    ready = routing.start(n["d_queries"], transfer_topk(n))
+    return journeys.scan_arrivals(journeys.scan_lines(ready, st), st)
+
+
+@_query(rounds_sql(2, "SELECT * FROM (" + _goal_sql(2) + ")"))
+def journey_arrivals(n):
+    """R-11, R-17: journeys with their legs agree with the labels; legs are checked to join end to end."""
+    q = n["d_queries"]
+    found = journeys.journeys(q, _day(n), transfer_topk(n), 2).join(q.select("query_id", "from_stop", "to_stop", "dep_s"), "query_id")
+    before = F.get("legs", F.lit(0))
+    ends = (F.size("legs") == 0) | ((before["from_stop"] == F.col("from_stop")) & (F.element_at("legs", -1)["to_stop"] == F.col("to_stop")) & (F.element_at("legs", -1)["arr_s"] == F.col("arr")))
+    chain = F.forall(F.transform("legs", lambda x, i: F.coalesce((F.get("legs", i + 1)["from_stop"] == x["to_stop"]) & (F.get("legs", i + 1)["dep_s"] >= x["arr_s"]), F.lit(True)) & (x["arr_s"] >= x["dep_s"])), lambda x: x)
+    rides = F.size(F.filter("legs", lambda x: x["kind"] == journeys.RIDE)) == F.col("vehicles")
+    return found.where(ends & chain & rides).select("query_id", "arr", "vehicles")
+
+
+@_query(f"""WITH x AS ({_NEXT}), c AS (SELECT coalesce(o.stop_index, x.stop_index) AS s, o.lat AS la, o.lon AS lo, x.lat AS lb, x.lon AS lp FROM d_stops o FULL JOIN x ON o.stop_index = x.stop_index
+  WHERE o.stop_index IS NULL OR x.stop_index IS NULL OR o.lat <> x.lat OR o.lon <> x.lon),
+p AS (SELECT la AS lat, lo AS lon FROM c WHERE la IS NOT NULL UNION SELECT lb, lp FROM c WHERE lb IS NOT NULL)
+SELECT s AS stop_index FROM c UNION SELECT b.stop_index FROM p a JOIN x b ON 2 * 6371000.0::DOUBLE * atan2(sqrt({_HAV}), sqrt(1 - ({_HAV}))) <= 450""")
+def affected_stops(n):
+    """J-15: changed stops, and the stops within walking distance of where a changed one was or is."""
+    return timetable.affected(n["d_stops"], _next_stops(n), 450.0)
+
+
+@_query(f"SELECT source, legs, count(*) AS n, min(arr_s) AS first_arr_s FROM (SELECT DISTINCT p.*, trip_index FROM (SELECT stop_index AS source, CAST(trip_index % 3 AS INT) AS legs, dep_s AS ready_s, CAST(arr_s + (trip_index * 131) % 5000 AS INT) AS arr_s, trip_index FROM d_stop_times WHERE service_dow = 3 AND pos = 2) p WHERE trip_index NOT IN (SELECT trip_index FROM d_rt)) GROUP BY 1, 2")
+def profile_invalidation(n):
+    """U-07: points that use a changed trip go."""
+    p = _day(n).where("pos = 2").select(F.col("stop_index").alias("source"), (F.col("trip_index") % 3).cast("int").alias("legs"), (F.col("arr_s") + F.col("trip_index") * 131 % 5000).cast("int").alias("arr_s"), F.array("trip_index").alias("trips"))
+    p = p.withColumn("point_id", F.element_at("trips", 1))
+    left = timetable.invalidate(p, n["d_rt"].select("trip_index"), "point_id", "trips")
+    return left.groupBy("source", "legs").agg(F.count("*").alias("n"), F.min("arr_s").alias("first_arr_s"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_Q)
 
