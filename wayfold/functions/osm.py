@@ -50,7 +50,9 @@ def drive_speed(tags: Column) -> Column:
     by_class = F.lit(DEFAULT_SPEED)
     for road, v in CLASS_SPEED.items():
         by_class = F.when(tags["highway"] == road, v).otherwise(by_class)
-    return F.coalesce(F.least(F.greatest(max_speed(tags["maxspeed"]), F.lit(LEAST_SPEED)), F.lit(MOST_SPEED)), by_class)
+    signed = max_speed(tags["maxspeed"])
+    # least and greatest skip nulls, so a way without a sign must be told apart first
+    return F.when(signed.isNotNull(), F.least(F.greatest(signed, F.lit(LEAST_SPEED)), F.lit(MOST_SPEED))).otherwise(by_class)
 
 
 def directions(tags: Column, mode: str) -> Column:
