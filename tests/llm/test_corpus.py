@@ -66,8 +66,9 @@ def test_exact_dedup_survives_hash_collisions(docs, rows):
     text = dict(rows)
     want = {i: (min(g, key=lambda x: (-len(text[x] or ""), x)), len(g), hashlib.sha256(norm[i]).hexdigest()) for g in groups.values() for i in g}
     for digest in (lambda b: hashlib.md5(b).digest(), lambda b: bytes([len(b) % 2]) * 16):
-        got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(docs, digest).collect()}
-        assert got == want
+        for salts in (2, 64):
+            got = {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in exact_dedup.exact_dedup(docs, digest, salts).collect()}
+            assert got == want
 
 
 def test_mixing_meets_targets(docs):
