@@ -87,3 +87,32 @@ def test_nearby_points_share_a_cell(spark):
 def test_empty_tables(spark):
     st = spark.createDataFrame([], "trip_index long, line_index int, pos int, stop_index int, service_dow int, arr_s int, dep_s int")
     assert timetable.trip_ranks(st).count() == 0 and timetable.monotone(st).count() == 0
+
+
+@pytest.mark.parametrize("name", ["route_k2", "first_departure_asof", "knn_projection", "profile_lookup"])
+def test_every_customer_asks(spark, name):
+    """The SQL as registered compares the first customers only; without that filter it gives the rows of all."""
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = registry.queries()[name](spark, SF)
+    cols = sorted(df.columns)
+    sql = registry.oracle_sql()[name]
+    few, every = (db.execute(f"SELECT {', '.join(cols)} FROM ({x})").fetchall() for x in (sql, sql.replace(" WHERE c_custkey < 32", "")))
+    got = [tuple(r) for r in df.select(*cols).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, every))
+    assert sorted(repr(r) for r in got if r[cols.index("query_id")] < 32) == sorted(map(repr, few))
+
+
+def test_boarding_finds_the_first_departure(spark):
+    """Against brute force, with gaps of many buckets, labels on a departure, before the first and after the last."""
+    times = [(t, t % 3, t % 2, (t % 3 + t % 2) % 3, 0, (t * 7919) % 86400 - 1000) for t in range(60)]
+    st = spark.createDataFrame(times, "trip_index long, line_index int, pos int, stop_index int, arr_s int, dep_s int")
+    labels = [(i, i % 3, (i * 4111) % 90000 - 3000) for i in range(40)] + [(100 + x[0], x[3], x[5]) for x in times]
+    got = {(r.query_id, r.line_index, r.board_pos): tuple(r.trip) for r in routing.board(spark.createDataFrame(labels, "query_id int, stop int, arr int"), st).collect()}
+    want: dict[tuple, tuple] = {}
+    for q, stop, arr in labels:
+        for t, line, pos, at, _, dep in times:
+            if at == stop and dep >= arr:
+                want[q, line, pos] = min(want.get((q, line, pos), (1 << 30, 0)), (dep, t))
+    assert got == want
