@@ -116,3 +116,23 @@ def test_boarding_finds_the_first_departure(spark):
             if at == stop and dep >= arr:
                 want[q, line, pos] = min(want.get((q, line, pos), (1 << 30, 0)), (dep, t))
     assert got == want
+
+
+def test_arrive_by_tries_every_minute(spark):
+    """Against brute force over single departures: between tens, at the deadline itself, over two hours before, and never."""
+    times = [(t, t % 2, p, t % 2 * 3 + p, 1000 + 700 * t + 300 * p, 1000 + 700 * t + 300 * p) for t in range(30) for p in range(3)]
+    times += [(90, 9, 0, 6, 900, 900), (90, 9, 1, 7, 950, 950)]
+    st = spark.createDataFrame(times, "trip_index long, line_index int, pos int, stop_index int, arr_s int, dep_s int")
+    tr = spark.createDataFrame([(2, 3, 100), (5, 0, 40), (0, 1, 900)], "from_stop int, to_stop int, dur_s int")
+    asked = [(0, 0, 2), (1, 0, 5), (2, 4, 4), (3, 6, 7), (4, 2, 3), (5, 7, 6), (6, 3, 1)]
+    q = spark.createDataFrame([(i, a, b, 14000) for i, a, b in asked], "query_id int, from_stop int, to_stop int, until int")
+    got = {r.query_id: (r.dep_s, r.arr) for r in routing.arrive_by(q, F.col("until"), st, tr, 2, 240).collect()}
+    tries = spark.createDataFrame([(i * 1000 + m, a, b, 14000 - 60 * m) for i, a, b in asked for m in range(241)], "query_id int, from_stop int, to_stop int, dep_s int")
+    want: dict[int, tuple[int, int]] = {}
+    for r in routing.arrivals(tries, routing.rounds(tries, st, tr, 2)).collect():
+        i, dep = r.query_id // 1000, 14000 - 60 * (r.query_id % 1000)
+        if r.arr <= 14000:
+            want[i] = max(want.get(i, (-1, 0)), (dep, r.arr))
+    assert got == want
+    assert got[2] == (14000, 14000) and got[3][0] < 14000 - 7200 and 5 not in got
+    assert any((14000 - dep) % 600 for dep, _ in got.values())
