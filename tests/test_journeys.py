@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -136,3 +138,22 @@ def test_arrive_by_tries_every_minute(spark):
     assert got == want
     assert got[2] == (14000, 14000) and got[3][0] < 14000 - 7200 and 5 not in got
     assert any((14000 - dep) % 600 for dep, _ in got.values())
+
+
+@pytest.mark.parametrize("most", [2963, 150])
+def test_forest_matches_dijkstra(spark, most):
+    """Paths of many edges, cheap detours longer than the direct edge, ties between roots, and the bound itself."""
+    edges = [(i, i + 1, 10) for i in range(30)] + [(0, 8, 81), (40, 20, 10), (40, 41, 150), (41, 42, 1), (50, 0, 5)]
+    roots = [0, 40, 60]
+    best: dict[int, tuple[int, int]] = {}
+    heap = [(0, r, r) for r in roots]
+    while heap:
+        dist, root, node = heapq.heappop(heap)
+        if node not in best:
+            best[node] = (dist, root)
+            for a, b, d in edges:
+                if a == node and dist + d <= most:
+                    heapq.heappush(heap, (dist + d, root, b))
+    e = spark.createDataFrame(edges, "src int, dst int, dur_s int")
+    got = {r.node: (r.dist, r.root) for r in timetable.relax(e, spark.createDataFrame([(r,) for r in roots], "node int"), most).collect()}
+    assert got == best

@@ -79,14 +79,20 @@ def search_stops(stops: DataFrame, needle: str, limit: int = 12) -> DataFrame:
     return stops.withColumn("score", score).where("score IS NOT NULL").orderBy("score", "stop_index").limit(limit)
 
 
-def relax(edges: DataFrame, sources: DataFrame, n: int) -> DataFrame:
-    """Bounded multi-source shortest paths: (node, dist, root), ties to the smaller root; at most n edges a path."""
+def relax(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
+    """Multi-source shortest paths no longer than ``most``: (node, dist, root), ties to the smaller root.
+
+    Runs until no label improves, however many edges a path has; a round expands only the labels that the last one
+    improved. Edges must not be negative.
+    """
     edges = written(edges)
-    best = sources.select("node", F.lit(0).alias("dist"), F.col("node").alias("root"))
-    for _ in range(n):
-        step = best.withColumnRenamed("node", "src").join(edges, "src").select(F.col("dst").alias("node"), (F.col("dist") + F.col("dur_s")).cast("int").alias("dist"), "root")
-        best = best.unionByName(step).groupBy("node").agg(F.min(F.struct("dist", "root")).alias("m")).select("node", F.col("m.dist").alias("dist"), F.col("m.root").alias("root"))
-        best = written(best)
+    best = fresh = written(sources.select("node", F.lit(0).alias("dist"), F.col("node").alias("root")))
+    while not fresh.isEmpty():
+        step = fresh.withColumnRenamed("node", "src").join(edges, "src").select(F.col("dst").alias("node"), (F.col("dist") + F.col("dur_s")).cast("int").alias("dist"), "root")
+        step = step.where(F.col("dist") <= most).groupBy("node").agg(F.min(F.struct("dist", "root")).alias("m"))
+        old = best.select("node", F.struct("dist", "root").alias("old"))
+        fresh = written(step.join(old, "node", "left").where("old IS NULL OR m < old").select("node", "m.dist", "m.root"))
+        best = written(best.join(fresh, "node", "left_anti").unionByName(fresh))
     return best
 
 

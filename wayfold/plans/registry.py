@@ -12,6 +12,8 @@ from ..operators import journeys, routing, timetable
 from ..sources.fixture import _HAV, duck, network
 
 DOW = 3
+#: 4,000 m at 1.35 m/s.
+FOREST_S = 2963
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -366,8 +368,8 @@ def _edges(n: dict[str, DataFrame]) -> DataFrame:
 UNION SELECT dst, dist + dur_s, root, n + 1 FROM r JOIN e ON src = node WHERE n < 4)
 SELECT node, dist, min(root) AS root FROM r JOIN (SELECT node, min(dist) AS dist FROM r GROUP BY 1) b USING (node, dist) GROUP BY 1, 2""", recursive=True)
 def street_forest(n):
-    """G-04: every node to its nearest root, four edges at most; ties to the smaller root."""
-    return timetable.relax(_edges(n), n["d_stops"].where("stop_index % 20 = 1").select(F.col("stop_index").alias("node")), 4)
+    """G-04: every node to its nearest root within the reference's 4,000 m, as seconds on foot; ties to the smaller root."""
+    return timetable.relax(_edges(n), n["d_stops"].where("stop_index % 20 = 1").select(F.col("stop_index").alias("node")), FOREST_S)
 
 
 _OVER = "SELECT trip_index, line_index, pos, stop_index, CAST(arr_s - CASE WHEN trip_index % 5 = 0 THEN 50 * pos ELSE 0 END AS INT) AS arr_s, CAST(dep_s - CASE WHEN trip_index % 5 = 0 THEN 50 * pos ELSE 0 END AS INT) AS dep_s FROM d_stop_times WHERE service_dow = 3"
