@@ -179,3 +179,15 @@ def test_network_gradients():
 @pytest.mark.parametrize("f", [minhash.near_dedup, exact_dedup.exact_dedup, mixing.mix_sources, substring.remove_repeats, fingerprint.fingerprints])
 def test_empty_tables(docs, f):
     assert f(docs.limit(0)).count() == 0
+
+
+def test_mix_carries_kept_columns(spark):
+    from wayfold.llm.mixing import mix_sources
+
+    docs = spark.createDataFrame([(i, "w " * (i + 1), f"l{i % 3}", f"s{i % 2}", 10 * i) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long")
+    plain = mix_sources(docs)
+    kept = mix_sources(docs, keep=("text", "lang", "source", "n_chars"))
+    assert kept.columns == [*plain.columns, "text", "lang", "n_chars"]
+    rows = {r.doc_id: r for r in kept.collect()}
+    assert len(rows) == 12 and all((r.text, r.lang, r.source, r.n_chars) == ("w " * (i + 1), f"l{i % 3}", f"s{i % 2}", 10 * i) for i, r in rows.items())
+    assert sorted(map(tuple, plain.collect())) == sorted(tuple(r)[: len(plain.columns)] for r in rows.values())

@@ -60,7 +60,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
     An empty table gives no rows. Columns other than doc_id, text, source and ``keep`` are ignored.
     """
     n = shuffle_partitions(docs.sparkSession)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"))
+    kept = [c for c in dict.fromkeys(keep) if c not in ("doc_id", "source")]
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), *(F.col(c).alias(f"keep {c}") for c in kept))
     ranged = src.repartitionByRange(n, F.col("source").asc_nulls_last(), "size", "doc_id").withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged)  # ranges are sampled: a second run could cut elsewhere
     per_part = ranged.groupBy("part", "source").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
@@ -76,7 +77,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat:
     place = F.col("rank") + F.col("before")
     copies = F.floor(place * rate + offset(F.col("source"), seed)) - F.floor((place - 1) * rate + offset(F.col("source"), seed))
     out = out.withColumn("copies", F.least(F.coalesce(copies, F.lit(0)), F.lit(max_repeat)).cast("long"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(F.col(f"keep {c}").alias(c) for c in kept))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
