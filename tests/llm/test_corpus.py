@@ -191,3 +191,9 @@ def test_mix_carries_kept_columns(spark):
     rows = {r.doc_id: r for r in kept.collect()}
     assert len(rows) == 12 and all((r.text, r.lang, r.source, r.n_chars) == ("w " * (i + 1), f"l{i % 3}", f"s{i % 2}", 10 * i) for i, r in rows.items())
     assert sorted(map(tuple, plain.collect())) == sorted(tuple(r)[: len(plain.columns)] for r in rows.values())
+
+
+def test_rows_with_an_id_stay_before_rows_without(spark):
+    docs = spark.createDataFrame([(None, "a  b   c"), (7, "a b c"), (5, "a bc"), (None, "alone")], "doc_id long, text string")
+    got = exact_dedup.exact_dedup(docs).collect()
+    assert sorted((r.doc_id or -1, r.keep_id or -1, r.group_size, r.kept) for r in got) == [(-1, -1, 1, True), (-1, 7, 3, False), (5, 7, 3, False), (7, 7, 3, True)]

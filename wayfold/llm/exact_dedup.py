@@ -43,7 +43,7 @@ SALTS = 64
 def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = xxhash.xxh3_128_digest, salts: int = SALTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_code_points.
 
-    Texts are equal when identical once white space is deleted. Of equal texts the longest original (code
+    Texts are equal when identical once white space is deleted. Of equal texts with an id the longest original (code
     points) stays, then the smallest doc_id. The 128-bit hash only proposes groups: members of groups of two
     or more are compared byte by byte with the row that would stay, and rows that differ (a collision) are
     grouped by their bytes themselves. Only those members' texts are kept in a table; the group's counts and
@@ -56,7 +56,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[bytes], bytes] = xxhash.xxh3_
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = materialize(src.mapInArrow(_hasher(False, digest), _HASHED))
-    best = F.max(F.struct("n_code_points", (-F.col("doc_id")).alias("neg_id"))).alias("best")
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("has_id"), "n_code_points", (-F.col("doc_id")).alias("neg_id"))).alias("best")
     groups = rows.groupBy("content_hash").agg(best, F.count("*").alias("n"))
     groups = materialize(groups.select("content_hash", (-F.col("best.neg_id")).alias("keep_id"), F.col("n").alias("group_size")))
     hot = groups.where((F.col("group_size") * HOT_SHARE >= rows.count()) & (F.col("group_size") >= salts)).select("content_hash", F.lit(True).alias("hot"))
