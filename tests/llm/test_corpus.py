@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pytest
 
-from wayfold.llm import chat, exact_dedup, fingerprint, minhash, mixing, packing, pii, quality, substring, toxicity
+from wayfold.llm import chat, exact_dedup, fingerprint, minhash, mixing, packing, pii, quality, substring, suffixes, toxicity
 
 ODD = [(1, None), (2, ""), (3, " \t\n"), (4, "one"), (5, "one"), (6, "é😀 " * 40), (7, "a " * 3000), (8, "One  TWO three four five six"), (9, "one two three four five six")]
 SCHEMA = "doc_id long, text string, source string, score double, label int"
@@ -108,27 +108,90 @@ def test_fingerprints_follow_the_text(docs, rows):
     assert {i for i in got if not got[i]} == {i for i in got if not text[i].split()}
 
 
-def test_repeated_strings(docs, rows):
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring.remove_repeats(docs).collect()}
-    seen, want = set(), {}
+def without_repeats(rows, length=100):
+    """(n_bytes, n_removed, n_spans, kept) of each (key, text), in order of the keys."""
+    seen, out = set(), {}
     for i, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
-        for p in range(len(b) - 99):
-            if (s := b[p : p + 100]) in seen:
-                gone[p : p + 100] = b"\1" * 100
+        for p in range(len(b) - length + 1):
+            if (s := b[p : p + length]) in seen:
+                gone[p : p + length] = b"\1" * length
             seen.add(s)
-        want[i] = (len(b), sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), bytes(x for x, g in zip(b, gone, strict=True) if not g))
-    assert got == want
+        out[i] = (len(b), sum(gone), len(bytes(gone).replace(b"\0", b" ").split()), bytes(x for x, g in zip(b, gone, strict=True) if not g))
+    return out
+
+
+@pytest.mark.parametrize(("bucket", "hot"), [(8192, 40), (3, 2)])
+def test_repeated_strings(spark, docs, rows, bucket, hot):
+    # passages inside other text, shorter and longer than a window, so that anchors have many surroundings
+    r = np.random.default_rng(4)
+    noise = lambda n: "".join(chr(97 + int(x)) for x in r.integers(0, 26, n))
+    line, passage = noise(70), noise(160)
+    more = [(1000 + i, f"{noise(int(r.integers(0, 90)))} {line if i % 3 else passage} {noise(int(r.integers(0, 90)))}") for i in range(60)]
+    both = spark.createDataFrame([*rows, *more], "doc_id long, text string").repartition(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substring.remove_repeats(both, bucket=bucket, hot=hot).collect()}
+    want = without_repeats([*rows, *more])
+    assert got == want and sum(x[1] for i, x in want.items() if i >= 1000) > 2000
+
+
+def test_repeated_strings_of_a_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    want = {i: (n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, (n, gone, spans, kept) in without_repeats(rows).items()}
+    assert {r.doc_id: tuple(r)[1:] for r in substring.op9_suffix_dedup(spark, sf).collect()} == want
+
+
+def test_repeated_strings_under_one_id(spark):
+    a, b = "".join(map(str, range(100, 200))), "".join(map(str, range(300, 380)))
+    rows = [(1, a + b), (1, b + a), (1, a + b), (None, a), (2, b), (3, None)]
+    got = sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = min((a + b, b + a), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    want = without_repeats([(0, first), (1, b + a if first == a + b else a + b)])
+    again = [want[0 if t == first else 1][1] for t in (a + b, b + a, a + b)]
+    assert got == sorted([(0, 300, 0), *((1, 540, n) for n in again), (2, 240, 240), (3, 0, 0)]) and max(again) > 0
+
+
+def test_the_order_decides_what_repeats():
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    shared = r.integers(97, 123, 130).astype(np.uint8).tobytes()
+    pieces = [shared[int(k) :][:100] + bytes([97 + n]) * 4 for n, k in enumerate(r.integers(0, 6, 24))]
+    t = pa.table({"bucket": [7] * 24, "doc": list(range(24)), "at": [4 << 8] * 24, "piece": pa.array(pieces, pa.binary())}).combine_chunks()
+    row, start, first, _, _ = substring.repeats_of(t, 100)
+    seen, want = set(), set()
+    for d, x in enumerate(pieces):
+        for s in range(5):
+            if x[s : s + 100] in seen:
+                want.add((d, s))
+            seen.add(x[s : s + 100])
+    assert {(int(d), int(s)) for d, s in zip(row[~first], start[~first], strict=True)} == want and want
+    mixed = lambda data, word, pos, group, length: np.random.default_rng(0).permutation(len(pos))
+    row, start, first, _, _ = substring.repeats_of(t, 100, mixed)
+    assert {(int(d), int(s)) for d, s in zip(row[~first], start[~first], strict=True)} != want
+
+
+@pytest.mark.parametrize("shallow", [8, 48, 104])
+def test_deep_shallow_order(shallow):
+    r = np.random.default_rng(shallow)
+    for kinds, n in ((1, 300), (2, 700), (3, 1500)):
+        data = np.concatenate([r.integers(97, 97 + kinds, n).astype(np.uint8), np.tile(r.integers(97, 99, 30).astype(np.uint8), 12)])
+        pos, word = r.permutation(len(data) - 99), suffixes.eight_bytes(data)
+        group, raw = r.integers(0, 3, len(pos)), data.tobytes()
+        order = suffixes.deep_shallow_order(data, word, pos, group, 100, shallow)
+        keys = [(int(group[i]), raw[pos[i] : pos[i] + 100]) for i in order]
+        assert sorted(order) == list(range(len(pos))) and keys == sorted(keys)
+        assert suffixes.equal_neighbours(word, pos, group, order, 100).tolist() == [a == b for a, b in zip(keys, keys[1:], strict=False)]
 
 
 def test_blind_trie_orders_strings():
     r = np.random.default_rng(2)
     texts = [bytes(r.integers(97, 99, 12).astype(np.uint8)) for _ in range(200)]
-    trie = substring.BlindTrie()
-    for t in texts:
-        trie.insert(t)
-    assert trie.ordered() == sorted(set(texts))
+    trie = suffixes.BlindTrie()
+    for i, t in enumerate(texts):
+        trie.insert(t, i)
+    assert [texts[i] for i in trie.ordered()] == sorted(texts)
 
 
 def test_chat_round_trip(spark):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,30 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.plans.lineage import written as materialize
+
 #: White space of the contracts, as a Java and RE2 class body and as bytes.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"{tempfile.gettempdir()}/wayfold-shared"
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayfold/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -71,3 +52,6 @@ def spans_of(off: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]
         j = min(max(j, i + 1), n)
         yield i, j
         i = j
+
+
+__all__ = ["SPACE_BYTES", "SPACE_CLASS", "documents", "id_bucket", "materialize", "shuffle_partitions", "spans_of", "utf8_bytes"]

@@ -8,7 +8,6 @@ from .common import SPACE_BYTES
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -42,13 +41,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Prefix sums of a polynomial hash: the hash of any byte range in constant time."""
+    """Prefix sums of a polynomial hash: the hash of any byte range in constant time. Each seed has a base of its own."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, seed: int = 0):
         n = len(data)
+        base = (_BASE + 2 * seed * 0xD1342543DE82EF95) % (1 << 64)
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum((data.astype(U64) + U64(1)) * _power_table(_BASE, n + 1)[:n], out=self.sums[1:])
-        self.inv = _power_table(_BASE_INV, n + 1)
+        np.cumsum((data.astype(U64) + U64(1)) * _power_table(base, n + 1)[:n], out=self.sums[1:])
+        self.inv = _power_table(pow(base, -1, 1 << 64), n + 1)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.inv[start]
@@ -101,6 +101,15 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return acc[new], doc[new]
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one big-endian number; zeros stand after the end."""
+    out = np.zeros(len(data) + 8, U64)
+    wide = np.concatenate([data, np.zeros(16, np.uint8)]).astype(U64)
+    for i in range(8):
+        out = out << U64(8) | wide[i : i + len(out)]
+    return out
+
+
 def text_sum(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Sum modulo 2**64 of the values of each text; doc is sorted."""
     sums = np.zeros(len(values) + 1, U64)

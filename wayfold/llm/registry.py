@@ -29,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_minhash_near_dedup": minhash.OP1_SQL,
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op5_mix_sources": mixing.OP5_SQL,
+        "op9_suffix_dedup": substring.OP9_SQL,
         "op10_chat_format": chat.OP10_SQL,
     }
