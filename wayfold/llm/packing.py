@@ -18,6 +18,8 @@ from .kernels import U64, Rolling, lower_ascii, mix, words
 WINDOW = 2048
 #: The id that ends each document.
 END_ID = 1
+#: Windows that a packing task holds open.
+OPEN = 64
 #: Words a worker keeps the ids of; when full it starts anew. About 30 bytes each.
 CACHED_WORDS = 1_000_000
 #: ASCII signs that the tokenizer splits from a word before them, when they end it.
@@ -117,59 +119,65 @@ class WordTokenizer:
 
 
 class SumOfSquares:
-    """Online packing with a level array: count[h] open windows are filled to level h.
+    """Online packing with a level array: count[h] open windows are filled to level h, at most ``most`` in all.
 
     A piece goes to the level (or a new window) whose choice leaves the smallest sum of count[h]**2 over partly
-    filled levels; of equal choices the fullest window wins.
+    filled levels; of equal choices the fullest window wins. When ``most`` windows are open none is opened: the
+    choice is then also among completing a window with the front of the piece, the rest being placed anew.
     """
 
-    def __init__(self, window: int = WINDOW):
-        self.window = window
+    def __init__(self, window: int = WINDOW, most: int = OPEN):
+        self.window, self.most = window, most
         self.count = np.zeros(window + 1, np.int64)
+        self.open = 0
 
     def place(self, size: int) -> int:
-        """The level to put a piece of ``size`` (1 .. window - 1) on; 0 opens a window."""
-        w = self.window
-        c = self.count
-        after = c[size : w + 1].copy()  # level h + size for h = 0 .. w - size
-        cost = 2 * after + 1
-        cost[-1] = 0  # a full window leaves the count
-        before = c[: w - size + 1]
+        """The level to put a piece of ``size`` (1 .. window - 1) on; 0 opens a window. A level above window - size
+        takes only the front of the piece."""
+        w, c, never = self.window, self.count, np.iinfo(np.int64).max
+        full = self.open >= self.most
+        levels = w if full else w - size + 1
+        before = c[:levels]
+        cost = np.zeros(levels, np.int64)
+        fits = min(levels, w - size)  # levels that stay open
+        cost[:fits] = 2 * c[size : size + fits] + 1
         cost[1:] -= 2 * before[1:] - 1
-        cost = np.where(before > 0, cost, np.iinfo(np.int64).max)
-        cost[0] = 2 * c[size] + 1
-        return len(cost) - 1 - int(np.argmin(cost[::-1]))
+        cost = np.where(before > 0, cost, never)
+        cost[0] = never if full else 2 * c[size] + 1
+        return levels - 1 - int(np.argmin(cost[::-1]))
 
     def move(self, level: int, size: int) -> None:
         if level:
             self.count[level] -= 1
+            self.open -= 1
         if level + size < self.window:
             self.count[level + size] += 1
+            self.open += 1
 
 
-_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+_PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, poured boolean"
 
 
-def _packer(path: str, window: int, with_ids: bool) -> Callable:
+def _packer(path: str, window: int, with_ids: bool, most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         next_id = (context.partitionId() if context else 0) << 32
-        encode, level = WordTokenizer(path), SumOfSquares(window)
+        encode, level = WordTokenizer(path), SumOfSquares(window, most)
         held: dict[int, list[list[tuple]]] = {}  # open windows by level, each a list of (doc, start, ids, doc_tokens)
         rows: list[tuple] = []
 
-        def emit(pieces: list[tuple]) -> None:
+        def emit(pieces: list[tuple], poured: bool = False) -> None:
             nonlocal next_id
             at = 0
             for doc, start, ids, total in pieces:
-                row = (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, next_id, at)
+                row = (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, next_id, at, poured)
                 rows.append((*row, ids) if with_ids else row)
                 at += len(ids)
             next_id += 1
 
         def flush() -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[] for _ in range(7 + with_ids)]
-            out = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[7:]]
+            cols = list(zip(*rows, strict=True)) or [[] for _ in range(8 + with_ids)]
+            out = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(cols[7], pa.bool_())] + [pa.array(c, pa.list_(pa.int32())) for c in cols[8:]]
             names = [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids
             rows.clear()
             return pa.RecordBatch.from_arrays(out, names=names)
@@ -185,12 +193,13 @@ def _packer(path: str, window: int, with_ids: bool) -> Callable:
                     while total - at >= window:
                         emit([(docs[i + n], at, own[at : at + window], total)])
                         at += window
-                    if at < total:
-                        size = total - at
-                        h = level.place(size)
+                    while at < total:
+                        h = level.place(total - at)
+                        size = min(total - at, window - h)
                         level.move(h, size)
                         pieces = held[h].pop() if h else []
-                        pieces.append((docs[i + n], at, own[at:], total))
+                        pieces.append((docs[i + n], at, own[at : at + size], total))
+                        at += size
                         if h + size == window:
                             emit(pieces)
                         else:
@@ -212,27 +221,28 @@ def _packer(path: str, window: int, with_ids: bool) -> Callable:
                 now.append((doc, start + at, ids[at : at + take], total))
                 at, room, rest = at + take, room - take, rest - take
                 if not room:
-                    emit(now)
+                    emit(now, True)
         yield flush()
 
     return run
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids if asked for).
+def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, with_ids: bool = False, most_open: int = OPEN) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, poured (and ids if asked for).
 
     A document is its ids and END_ID. Whole windows are cut off its front; the remainder is placed online by
-    the sum-of-squares rule. Each input partition packs for itself, so nothing is shuffled and a hot source or
-    group is only more rows; windows still open at its end are poured together and end in windows of a power of
-    two. Memory is the open windows, under one window's pieces per level and usually far fewer. sequence_id is
-    partition number * 2**32 + window number: a task that runs again gives the same rows.
+    the sum-of-squares rule, and cut only where that completes a window while ``most_open`` are open. Each input
+    partition packs as one stream, so nothing is shuffled and a hot source or group is only more rows. Memory is
+    ``most_open`` windows. Those still open at a partition's end (under ``most_open * window`` tokens, whatever the
+    partition's size; ``poured`` says which) are poured together and end in windows of a power of two. sequence_id
+    is partition number * 2**32 + window number: a task that runs again gives the same rows.
 
     Null and empty texts are the end id alone. Repeated rows are packed each. Null ids stay null. An empty table
     gives no rows. Other columns are ignored. ``vocabulary`` must be readable at the same path on each executor.
     """
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = _PIECES + (", ids array<int>" if with_ids else "")
-    return src.mapInArrow(_packer(vocabulary, window, with_ids), schema)
+    return src.mapInArrow(_packer(vocabulary, window, with_ids, most_open), schema)
 
 
 def default_vocabulary() -> str:
