@@ -16,10 +16,11 @@ from .quality import labelled_sample
 
 #: At most this many labelled documents are trained on.
 SAMPLE = 4000
-#: Words in a window, and words from one window's start to the next: windows overlap by 8 words.
-WINDOW, STRIDE = 32, 24
+#: Words in a window, and words from one window's start to the next: windows overlap by half, so any passage of up
+#: to 16 words lies whole in one.
+WINDOW, STRIDE = 32, 16
 _WORDS, _GRAMS, _EMBED, _HIDDEN = 1 << 14, 1 << 12, 8, 8
-_EPOCHS, _BATCH, _LEAST_STEPS, _RATE, _EMBED_RATE = 6, 128, 150, 0.01, 0.3
+_EPOCHS, _BLIND, _BATCH, _LEAST_STEPS, _RATE, _EMBED_RATE = 6, 48, 128, 300, 0.01, 1.0
 
 
 @dataclass
@@ -123,8 +124,8 @@ class Network:
         both = np.concatenate([self.states(x, w.index, w.mask, way) for way in "fb"], axis=2)
         return self.pool(both, w.mask)[0]
 
-    def step(self, w: Words, index: np.ndarray, mask: np.ndarray, y: np.ndarray, t: int) -> float:
-        """One Adam step on a batch of windows of ``w``; gradients by hand, back through time."""
+    def gradients(self, w: Words, index: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """The mean cross-entropy's gradients on a batch of windows of ``w``, by hand, back through time, and its value."""
         p, h = self.p, _HIDDEN
         used, flat = np.unique(index, return_inverse=True)
         index = flat.reshape(index.shape)
@@ -168,18 +169,21 @@ class Network:
         g["word"], g["gram"] = np.zeros_like(p["word"]), np.zeros_like(p["gram"])
         np.add.at(g["word"], w.word[used], d_x[:, :_EMBED])
         np.add.at(g["gram"], grams, (d_x[:, _EMBED:] / n_gram[used][:, None])[own])
+        return g, float(-np.mean(np.log(np.where(y > 0, prob, 1 - prob) + 1e-9)))
+
+    def step(self, w: Words, index: np.ndarray, mask: np.ndarray, y: np.ndarray, t: int) -> float:
+        """One Adam step on a batch of windows of ``w``."""
+        p = self.p
+        g, loss = self.gradients(w, index, mask, y)
         for k, grad in g.items():
             m1, m2 = self._m.setdefault(k, (np.zeros_like(grad), np.zeros_like(grad)))
             m1 *= 0.9
             m1 += 0.1 * grad
             m2 *= 0.99
             m2 += 0.01 * grad**2
-            if k in ("word", "gram"):  # they would learn rare words by heart
-                grad_rate = _RATE * _EMBED_RATE
-            else:
-                grad_rate = _RATE
-            p[k] -= (grad_rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
-        return float(-np.mean(np.log(np.where(y > 0, prob, 1 - prob) + 1e-9)))
+            rate = _RATE * _EMBED_RATE if k in ("word", "gram") else _RATE
+            p[k] -= (rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.99**t)) + 1e-6)).astype(np.float32)
+        return loss
 
     def document_scores(self, w: Words) -> np.ndarray:
         """The calibrated score of each text's highest window; a text without words scores as the lowest seen."""
@@ -200,9 +204,9 @@ def _join(parts: list[Words]) -> Words:
 def train(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     """Multiple-instance training: a document's label falls on its most telling window.
 
-    At first that is the window with the word of the highest log-odds between the labels; in later epochs the
-    network's own highest. Other windows of clean documents are drawn at random. A logistic curve over the
-    highest logits of all documents then calibrates the score.
+    At first that is a window drawn at random, anew each epoch, mostly of documents with few windows; after _BLIND
+    steps it is the network's own highest. Other windows of clean documents are drawn at random. A logistic curve
+    over the highest logits of all documents then calibrates the score.
     """
     net = Network.fresh(rng := np.random.default_rng(seed))
     y = np.asarray(labels, np.float32)
@@ -214,22 +218,22 @@ def train(texts: list[str], labels: list[int], seed: int = 3) -> Network:
     doc = np.repeat(np.arange(len(y)), np.diff(w.first))
     if not (y[doc] > 0).any() or not (y[doc] == 0).any():  # one label has no words at all
         return net
-    seen = np.unique(doc[:, None] * np.int64(_WORDS) + w.word[w.index])
-    sd, sw = seen // _WORDS, seen % _WORDS
-    pos, neg = np.bincount(sw[y[sd] > 0], minlength=_WORDS), np.bincount(sw[y[sd] == 0], minlength=_WORDS)
-    odds = np.log((pos + 0.1) / (y.sum() + 1)) - np.log((neg + 0.1) / ((y == 0).sum() + 1))
-    odds[pos < 2 + 0.08 * y.sum()] = 0  # too rare to tell from chance
-    net.p["word"][:, 0] = np.clip(odds, -1, 6) / 3
-    score = odds[w.word][w.index].max(axis=1)
     step = epoch = 0
     while epoch < _EPOCHS or step < _LEAST_STEPS:
-        if epoch > 1:
-            score = np.concatenate([net.logits(x) for x in parts])
+        blind = step < _BLIND
+        score = rng.random(len(doc)) if blind else np.concatenate([net.logits(x) for x in parts])
         order = np.lexsort((score, doc))
         top = order[np.append(doc[order][1:] != doc[order][:-1], True)]
         clean = np.flatnonzero(y[doc] == 0)
         hard = clean[np.argsort(-score[clean])[: len(y) // 4]]
-        picked = np.concatenate([np.repeat(top[y[doc[top]] > 0], max(1, int((y == 0).sum() / max(1, y.sum()) / 3))), top[y[doc[top]] == 0], rng.choice(clean, min(len(clean), len(y) // 2), replace=False), hard])
+        toxic = top[y[doc[top]] > 0]
+        many = max(1, int((y == 0).sum() / max(1, y.sum()) / 3))
+        if blind:  # the fewer windows a document has, the likelier a random one is what its label means
+            share = 1 / np.diff(w.first)[doc[toxic]]
+            toxic = rng.choice(toxic, many * len(toxic), p=share / share.sum())
+        else:
+            toxic = np.repeat(toxic, many)
+        picked = np.concatenate([toxic, top[y[doc[top]] == 0], rng.choice(clean, min(len(clean), len(y) // 2), replace=False), hard])
         rng.shuffle(picked)
         for lo in range(0, len(picked), _BATCH):
             rows = picked[lo : lo + _BATCH]
