@@ -116,11 +116,13 @@ def fit(texts: list[str], labels: list[int], dimensions: int = DIMENSIONS, seed:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int, limit: int = SAMPLE) -> tuple[list[str], list[int]]:
     """Texts and labels of at most ``limit`` labelled documents outside the held-out bucket, drawn by hash of the id.
 
-    Null labels and ids are left out; only this bounded sample comes to the driver.
+    Null labels and ids are left out. An id with several labels has the greatest, an id with several texts the
+    least, so one text an id, ``limit`` in all, comes to the driver.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & (id_bucket(F.col("doc_id"), modulus) != held_out))
-    some = own.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(some), "doc_id").collect()
+    some = own.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"] or "" for r in rows], [r["label"] for r in rows]
 
