@@ -122,3 +122,22 @@ def test_pipeline_of_no_documents(spark, folder, tmp_path):
     spark.read.parquet(f"{folder[0]}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{folder[0]}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_without_an_id_of_their_own_go_through(spark, folder):
+    texts = [f"words of text number {i} that no other text has in it" for i in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (1, texts[2]), (1, texts[3]), (2, texts[4]), (None, texts[4] + " "), (3, texts[5]), (3, texts[5])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    left = corpus_pipeline.exact(spark, docs, folder[0])
+    assert sorted((r.doc_id or 0, r.text.strip()) for r in left.collect()) == sorted([(0, texts[0]), (0, texts[1]), (1, texts[2]), (1, texts[3]), (0, texts[4]), (3, texts[5])])
+    left = corpus_pipeline.near(spark, corpus_pipeline.materialize(left), folder[0])
+    assert left.count() == 6
+    mixed = corpus_pipeline.mix(spark, corpus_pipeline.materialize(left), folder[0])
+    assert sorted((r.doc_id or 0, r.text) for r in mixed.collect()) == sorted((r.doc_id or 0, r.text) for r in left.collect())
+
+
+def test_labelled_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i % 5, f"text {i}") for i in range(50)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5)] * 3 + [(0, 1), (None, 1)], "doc_id long, quality int")
+    texts, marks = quality.labelled_sample(docs, labels, "quality", 3, 1, 4)
+    assert len(texts) <= 4 and texts == sorted(texts) and all(t in {f"text {i}" if i < 5 else "" for i in range(5)} for t in texts)
