@@ -15,8 +15,8 @@ from .suffixes import deep_shallow_order, equal_neighbours
 
 #: Length of a repeated string, and of the grams that anchor it.
 LENGTH, GRAM = 100, 24
-#: Pieces of one anchor that one task sorts at once; an anchor with more is dealt over several buckets first.
-BUCKET = 8192
+#: Pieces of one anchor that are sorted at once; an anchor with more is dealt over several buckets first.
+BUCKET = 2048
 #: Pieces gathered before a task sorts them.
 GATHER = 16_000
 #: Documents whose anchors are looked at to plan the exchange, appearances among them that make an anchor hot, and
@@ -175,7 +175,7 @@ def _cut_pieces(length: int) -> Callable:
             wants = batch.column("wants")
             each, flat = pa.compute.list_parent_indices(wants).to_numpy(), wants.flatten()
             doc = batch.column("doc").to_numpy()[each]
-            bucket, key, at = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("bucket", "key", "at"))
+            bucket, key, at = flat.field("bucket").to_numpy(), flat.field("key"), flat.field("at").to_numpy()
             s = off[each] + (at >> 16)
             e = s + (at >> 8 & 255) + length
             buf = memoryview(raw)
@@ -183,7 +183,7 @@ def _cut_pieces(length: int) -> Callable:
             for lo in range(0, len(at), step):
                 hi = lo + step
                 piece = pa.array([bytes(buf[a:b]) for a, b in zip(s[lo:hi].tolist(), e[lo:hi].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x[lo:hi]) for x in (bucket, key, doc, at)), piece], names=["bucket", "key", "doc", "at", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[lo:hi]), key[lo:hi], pa.array(doc[lo:hi]), pa.array(at[lo:hi]), piece], names=["bucket", "key", "doc", "at", "piece"])
 
     return run
 
@@ -242,20 +242,21 @@ def repeats_of(t: pa.Table | pa.RecordBatch, length: int, order_of: Callable = d
     return who[by], start[by], first, pos[order][by], data
 
 
-def _sorted_repeats(length: int, survivors: bool) -> Callable:
-    """Rows in order of bucket -> RUN: ranges of windows that start earlier elsewhere; with ``survivors`` also PIECE:
-    the earliest of each distinct window, to be compared with other buckets of its key."""
+def _sorted_repeats(length: int) -> Callable:
+    """Rows in order of bucket -> RUN: ranges of windows that start earlier elsewhere; from pieces that have a key
+    also PIECE: the earliest of each distinct window, to be compared with other buckets of the key."""
 
     def find(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        doc, key = t.column("doc").to_numpy(), t.column("key").to_numpy()
+        doc, crowded = t.column("doc").to_numpy(), t.column("key").is_valid().to_numpy(zero_copy_only=False)
         row, start, first, pos, data = repeats_of(t, length)
         d, s, e = _runs(doc[row[~first]], start[~first], start[~first] + length)
-        none = np.zeros(len(d), np.int64)
-        cols = [np.full(len(d), RUN, np.int32), none, none, d, s, e]
+        cols = [np.full(len(d), RUN, np.int32), mix(d.astype(U64) + s.astype(U64)).view(np.int64), np.zeros(len(d), np.int64), d, s, e]
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "key", "w", "doc", "at", "stop"])
-        if survivors:
+        first &= crowded[row]
+        if first.any():
+            key = t.column("key").fill_null(0).to_numpy()[row[first]]
             w = Rolling(data).hash(pos[first], pos[first] + length).view(np.int64)
-            cols = [np.full(len(w), PIECE, np.int32), key[row[first]], w, doc[row[first]], start[first] << 16, np.zeros(len(w), np.int64)]
+            cols = [np.full(len(w), PIECE, np.int32), key, w, doc[row[first]], start[first] << 16, np.zeros(len(w), np.int64)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["kind", "key", "w", "doc", "at", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +277,27 @@ def _sorted_repeats(length: int, survivors: bool) -> Callable:
     return run
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (key, w) -> the RUN rows, and those PIECE rows whose (key, w) another row has too."""
+    held = None  # the last PIECE row, and whether the one before it was its equal
+    known = False
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        yield batch.filter(pa.array(kind == RUN))
+        rows = batch.filter(pa.array(kind == PIECE))
+        if held is not None:
+            rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+        if not rows.num_rows:
+            continue
+        key, w = rows.column("key").to_numpy(), rows.column("w").to_numpy()
+        same = (key[1:] == key[:-1]) & (w[1:] == w[:-1])
+        keep = np.concatenate([[known], same]) | np.append(same, False)
+        yield rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1]))
+        held, known = rows.slice(rows.num_rows - 1), bool(keep[-1])
+    if held is not None and known:
+        yield held
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, off = utf8_bytes(batch.column("text"))
@@ -326,33 +348,64 @@ def _hot_anchors(unique: DataFrame, length: int, gram: int, seed: int, hot: int)
     return np.array([r["h"] for r in seen.where(F.col("n") >= hot).orderBy(F.desc("n"), "h").limit(1000).collect()], np.int64)
 
 
-def _buckets(pieces: DataFrame, dealt: DataFrame, length: int, survivors: bool) -> DataFrame:
-    """(key, doc, at, bucket) rows -> their windows, sorted bucket by bucket."""
-    wants = pieces.groupBy("doc").agg(F.collect_list(F.struct("bucket", "key", "at")).alias("wants"))
-    cut = dealt.join(wants, "doc").select("doc", "text", "wants").mapInArrow(_cut_pieces(length), _PIECES)
+def _dealt(pieces: DataFrame, bucket: int) -> DataFrame:
+    """(key, doc, at, count) rows -> doc, at, bucket, key: rows of a key with more than ``bucket`` are dealt over
+    several buckets; the others keep their key's own, and no key."""
+    salt = F.pmod(F.xxhash64("doc", "at"), F.ceil(F.col("count") / bucket))
+    crowded = F.coalesce(F.col("count"), F.lit(0)) > bucket
+    return pieces.select("doc", "at", F.when(crowded, F.xxhash64("key", salt)).otherwise(F.col("key")).alias("bucket"), F.when(crowded, F.col("key")).alias("key"))
+
+
+def _sorted(pieces: DataFrame, texts: DataFrame, length: int) -> DataFrame:
+    """(doc, at, bucket, key) rows -> the repeats among their windows, sorted bucket by bucket, and what survives
+    of keys that have several buckets and is in more than one."""
     n = shuffle_partitions(pieces.sparkSession)
-    return cut.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_repeats(length, survivors), _SORTED)
+    wants = pieces.groupBy("doc").agg(F.collect_list(F.struct("bucket", "key", "at")).alias("wants"))
+    cut = texts.join(wants, "doc").select("doc", "text", "wants").mapInArrow(_cut_pieces(length), _PIECES)
+    done = cut.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_sorted_repeats(length), _SORTED)
+    return done
+
 
+def _compared(done: DataFrame) -> DataFrame:
+    n = shuffle_partitions(done.sparkSession)
+    return done.repartition(n, "key", "w").sortWithinPartitions("key", "w").mapInArrow(_shared, _SORTED)
 
-def _crowded(pieces: DataFrame, sizes: DataFrame, unique: DataFrame, length: int, bucket: int) -> list[DataFrame]:
-    """Repeats among anchors with more than ``bucket`` pieces, level by level.
 
-    An anchor's pieces are dealt over buckets by document and each bucket is sorted; the earliest of each distinct
-    window survives. Windows that survive in several buckets are the next level, each distinct one with a key of
-    its own. A key's rows shrink ``bucket``-fold a level, so the levels end, and no task ever holds more than
-    ``bucket`` pieces of a key and what it gathers.
+def _ranges(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("kind") == RUN).select("doc", F.col("at").alias("start"), "stop")
+
+
+def _left(rows: DataFrame) -> DataFrame:
+    """Surviving windows as pieces of their own; all with one key are equal, or nearly always."""
+    return rows.where(F.col("kind") == PIECE).select(F.xxhash64("key", "w").alias("key"), "doc", "at")
+
+
+def _sorted_levels(pieces: DataFrame, texts: DataFrame, length: int, bucket: int) -> list[DataFrame]:
+    """Repeats among the windows of pieces (key, doc, at), as ranges.
+
+    Where a key has more than ``bucket`` pieces they are dealt over buckets by document, each bucket is sorted, and
+    the earliest of each distinct window survives; windows that survive in several buckets are the next level, each
+    distinct one with a key of its own. A key's rows shrink ``bucket``-fold a level. Up to ``bucket`` squared
+    pieces two levels do, in one plan; beyond, levels are written until nothing is left. No task ever sorts more
+    than ``bucket`` pieces of a key and what it gathers.
     """
+    sizes = materialize(pieces.groupBy("key").count().where(F.col("count") > bucket))
+    most = sizes.agg(F.max("count")).first()[0] or 0
+    if not most:
+        return [_ranges(_sorted(pieces.select("doc", "at", F.col("key").alias("bucket"), F.lit(None).cast("long").alias("key")), texts, length))]
+    first = _compared(_sorted(_dealt(pieces.join(sizes, "key", "left"), bucket), texts, length))
+    if most <= bucket * bucket:
+        again = _left(first).select("doc", "at", F.col("key").alias("bucket"), F.lit(None).cast("long").alias("key"))
+        return [_ranges(first), _ranges(_sorted(again, texts, length))]
     out = []
-    busy = pieces.join(sizes, "key")
     while True:
-        salt = F.pmod(F.xxhash64("doc", "at"), F.ceil(F.col("count") / bucket))
-        level = materialize(_buckets(busy.select("key", "doc", "at", F.xxhash64("key", salt).alias("bucket")), unique, length, True))
-        out.append(level.where(F.col("kind") == RUN).select("doc", F.col("at").alias("start"), "stop"))
-        left = level.where(F.col("kind") == PIECE)
-        shared = left.groupBy("key", "w").agg(F.count("*").alias("count")).where("count > 1")
-        busy = materialize(left.join(shared, ["key", "w"]).select(F.xxhash64("key", "w").alias("key"), "doc", "at", "count"))
-        if busy.isEmpty():
+        first = materialize(first)
+        out.append(_ranges(first))
+        left = _left(first)
+        if left.isEmpty():
             return out
+        counts = left.groupBy("key").count()
+        first = _compared(_sorted(_dealt(left.join(counts, "key"), bucket), texts, length))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket: int = BUCKET, seed: int = 0, hot: int = HOT) -> DataFrame:
@@ -380,17 +433,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, buck
     anchors = unique.mapInArrow(_anchors(length, gram, seed, _hot_anchors(unique, length, gram, seed, hot)), _ANCHORS)
     ordered = anchors.repartition(n, "h", "mark").sortWithinPartitions("h", "g", "doc", "at")
     found = materialize(ordered.mapInArrow(_repeated(length), _FOUND))
-    pieces = found.where(F.col("kind") == PIECE).select(F.col("h").alias("key"), "doc", "at")
-    sizes = materialize(pieces.groupBy("key").count().where(F.col("count") > bucket))
-    ranges = [found.where(F.col("kind") == RUN).select("doc", F.col("at").alias("start"), "stop")]
-    if not sizes.isEmpty():
-        ranges += _crowded(pieces, sizes, unique, length, bucket)
-        pieces = pieces.join(sizes, "key", "left_anti")
-
     dealt = rows.repartition(n, "doc")  # one exchange of the texts, read by all joins below
     once = _each_once(dealt, repeated)
-    runs = _buckets(pieces.withColumn("bucket", F.col("key")), once, length, False)
-    ranges.append(runs.select("doc", F.col("at").alias("start"), "stop"))
+    ranges = [_ranges(found), *_sorted_levels(found.where(F.col("kind") == PIECE).select(F.col("h").alias("key"), "doc", "at"), once, length, bucket)]
     whole = found.where(F.col("kind") == WHOLE)
     first = F.shiftright("at", 16)
     ranges.append(whole.select("doc", first.alias("start"), (first + F.shiftright("at", 8).bitwiseAND(255) + length).alias("stop")))
