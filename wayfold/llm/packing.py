@@ -128,31 +128,36 @@ class SumOfSquares:
 
     def __init__(self, window: int = WINDOW, most: int = OPEN):
         self.window, self.most = window, most
-        self.count = np.zeros(window + 1, np.int64)
+        self.count = [0] * (window + 1)
+        self.levels: set[int] = set()  # those with an open window
         self.open = 0
 
     def place(self, size: int) -> int:
         """The level to put a piece of ``size`` (1 .. window - 1) on; 0 opens a window. A level above window - size
         takes only the front of the piece."""
-        w, c, never = self.window, self.count, np.iinfo(np.int64).max
+        w, c = self.window, self.count
         full = self.open >= self.most
-        levels = w if full else w - size + 1
-        before = c[:levels]
-        cost = np.zeros(levels, np.int64)
-        fits = min(levels, w - size)  # levels that stay open
-        cost[:fits] = 2 * c[size : size + fits] + 1
-        cost[1:] -= 2 * before[1:] - 1
-        cost = np.where(before > 0, cost, never)
-        cost[0] = never if full else 2 * c[size] + 1
-        return levels - 1 - int(np.argmin(cost[::-1]))
+        best, least = 0, w * w if full else 2 * c[size] + 1
+        for h in self.levels:
+            reach = h + size
+            if reach > w and not full:
+                continue
+            cost = (2 * c[reach] + 1 if reach < w else 0) - (2 * c[h] - 1)
+            if cost < least or (cost == least and h > best):
+                best, least = h, cost
+        return best
 
     def move(self, level: int, size: int) -> None:
+        """A piece of ``size`` goes on ``level`` (0: a new window)."""
         if level:
             self.count[level] -= 1
             self.open -= 1
+            if not self.count[level]:
+                self.levels.remove(level)
         if level + size < self.window:
             self.count[level + size] += 1
             self.open += 1
+            self.levels.add(level + size)
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, poured boolean"
