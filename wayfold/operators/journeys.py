@@ -19,7 +19,7 @@ def scan_lines(ready: DataFrame, stop_times: DataFrame) -> DataFrame:
     """(query_id, line_index, trip_index, board_pos, last_pos): the vehicles a rider sits in along each line.
 
     At a position the rider changes to the first trip that can be caught there if it leaves strictly earlier than
-    the trip the rider is in; so trips of a line may overtake each other. What can be caught does not depend on
+    the trip the rider is in (never where that trip does not call); so trips of a line may overtake each other. What can be caught does not depend on
     the ride, so it is an as-of join; only the choice is a fold, over one line's positions, inside an array.
     """
     deps = stop_times.groupBy("trip_index").agg(F.array_sort(F.collect_list(F.struct("pos", "dep_s"))).alias("deps"))
@@ -28,7 +28,7 @@ def scan_lines(ready: DataFrame, stop_times: DataFrame) -> DataFrame:
 
     def step(taken: Column, c: Column) -> Column:
         now = F.element_at(taken, -1)
-        earlier = (F.size(taken) == 0) | F.coalesce(c["dep_s"] < F.element_at(F.map_from_entries(now["deps"]), c["pos"]), F.lit(True))
+        earlier = (F.size(taken) == 0) | F.coalesce(c["dep_s"] < F.element_at(F.map_from_entries(now["deps"]), c["pos"]), F.lit(False))
         return F.when(earlier, F.concat(taken, F.array(c))).otherwise(taken)
 
     by_line = by_line.withColumn("taken", F.aggregate("c", F.expr("CAST(array() AS ARRAY<STRUCT<pos:INT,trip_index:BIGINT,dep_s:INT,deps:ARRAY<STRUCT<pos:INT,dep_s:INT>>>>)"), step))
