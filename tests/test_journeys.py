@@ -8,13 +8,13 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from wayfold.functions import geo, osm
+from wayfold.functions import geo, osm, transit
 from wayfold.operators import routing, timetable
-from wayfold.plans import registry
+from wayfold.plans import features, registry  # noqa: F401
 from wayfold.sources.fixture import TABLES
 
 SF = "/root/testdata/sf0.001"
-FAST = ["stops", "lines", "line_stats", "service_days", "stop_cells", "haversine_transfers", "departure_buckets", "delay_propagation", "stop_differences", "profile_pareto", "append_only_merge"]
+FAST = ["stops", "lines", "line_stats", "service_days", "stop_cells", "haversine_transfers", "departure_buckets", "delay_propagation", "stop_differences", "profile_pareto", "append_only_merge", "line_modes", "global_ids", "clock_times", "route_labels", "endpoint_kinds", "stop_resolution", "strong_anchors", "trips_of_services", "cell_neighbours", "connectors", "line_turns", "line_lengths", "lookup_buckets", "update_positions", "vehicle_merge", "profile_summary", "profile_merge", "spatial_surface", "mode_filtered_route", "route_overtaking_k2", "route_realtime_k2", "overtaking_ride", "street_forest"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -93,17 +93,52 @@ def test_empty_tables(spark):
 
 @pytest.mark.parametrize("name", ["route_k2", "first_departure_asof", "knn_projection", "profile_lookup"])
 def test_every_customer_asks(spark, name):
-    """The SQL as registered compares the first customers only; without that filter it gives the rows of all."""
     db = duckdb.connect()
     for t in TABLES:
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.queries()[name](spark, SF)
     cols = sorted(df.columns)
-    sql = registry.oracle_sql()[name]
-    few, every = (db.execute(f"SELECT {', '.join(cols)} FROM ({x})").fetchall() for x in (sql, sql.replace(" WHERE c_custkey < 32", "")))
-    got = [tuple(r) for r in df.select(*cols).collect()]
-    assert sorted(map(repr, got)) == sorted(map(repr, every))
-    assert sorted(repr(r) for r in got if r[cols.index("query_id")] < 32) == sorted(map(repr, few))
+    every = db.execute(f"SELECT {', '.join(cols)} FROM ({registry.oracle_sql()[name]})").fetchall()
+    rows = df.select(*cols).collect()
+    assert sorted(map(repr, map(tuple, rows))) == sorted(map(repr, every))
+    assert max(r.query_id for r in rows) > 32
+
+
+def test_arrive_by_equals_its_sql(spark):
+    db = duckdb.connect()
+    for t in TABLES:
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = db.execute(f"SELECT query_id, dep_s, arr FROM ({registry.ARRIVE_BY_SQL})").fetchall()
+    got = registry.queries()["arrive_by_exact"](spark, SF).select("query_id", "dep_s", "arr").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(got) > 100
+
+
+def test_modes_are_parsed():
+    assert transit.parse_modes(None) is None and transit.parse_modes("tram, bus") is None
+    assert transit.parse_modes(" Bus ") == {"bus"}
+    for wrong in ("", " ,", "ship", "bus,ship"):
+        with pytest.raises(ValueError, match="mode"):
+            transit.parse_modes(wrong)
+
+
+def test_clock_endpoints_and_codes(spark):
+    rows = [("8:05", 29100), ("23:59:59", 86399), ("24:00", None), ("12:60", None), ("1205", None), ("", None), (None, None)]
+    df = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(transit.clock_seconds(F.col("t")).alias("s"))
+    assert [r.s for r in df.collect()] == [s for _, s in rows]
+    codes = spark.createDataFrame([(c,) for c in (-1, 0, 3, 9, None)], "c int").select(transit.code_name(F.col("c"), transit.RELATIONSHIPS).alias("n"))
+    assert [r.n for r in codes.collect()] == [None, "SCHEDULED", "CANCELED", None, None]
+
+
+def test_written_tables_are_deleted(spark):
+    import os
+
+    from wayfold.plans import lineage
+
+    path = lineage.run_dir(spark)
+    lineage.written(spark.range(3))
+    assert os.listdir(path)
+    lineage.release(spark)
+    assert not os.path.exists(path) and lineage.run_dir(spark) != path
 
 
 def test_boarding_finds_the_first_departure(spark):
