@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -288,7 +289,8 @@ def training_cases(values: list[tuple[str, str, str, str]], n: int = 480, seed:
 
 def case_features(spark: SparkSession, cases: list[tuple[str, str, int]]) -> list:
     """(nth, want, y, x) of the cases' candidates of their kind, from the same expressions as in use."""
-    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "nth long, text string, want string, y int")
+    told = json.dumps([{"nth": i, "text": t, "want": k, "y": y} for i, (t, k, y) in enumerate(cases)])
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(told), "array<struct<nth:bigint,text:string,want:string,y:int>>")).alias("c")).select("c.*")
     found = rows.withColumn("s", F.explode(candidates(F.col("text")))).where("s.kind = want")
     return found.select("nth", "want", "y", F.array(*_features(F.col("text"), F.col("s"))).alias("x")).orderBy("nth", "s.start", "s.end").collect()
 
