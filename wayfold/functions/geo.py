@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 EARTH_M, WALK_MPS = 6371000.0, 1.35
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value worked out once; the bodies of lambdas don't share what they repeat."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def haversine(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat_b - lat_a) / 2), 2) + F.cos(F.radians(lat_a)) * F.cos(F.radians(lat_b)) * F.pow(F.sin(F.radians(lon_b - lon_a) / 2), 2)
     return 2 * F.lit(EARTH_M) * F.atan2(F.sqrt(a), F.sqrt(1 - a))

@@ -108,4 +108,29 @@ def endpoint_kind(stop: Column, lat: Column, lon: Column) -> Column:
     )
 
 
+def occupancy_severity(code: Column) -> Column:
+    """The known codes 0 to 8 rank as they are numbered, unknown ones above all."""
+    return F.when(code.between(0, 8), code).otherwise(255)
+
+
+def virtual_id(lat: Column, lon: Column) -> Column:
+    return F.format_string("virtual:%.6f,%.6f", lat, lon)
+
+
+def virtual_name(role: Column, lat: Column, lon: Column) -> Column:
+    return F.format_string("%s %.5f, %.5f", role, lat, lon)
+
+
+def version_changed(cached: Column, remote: Column) -> Column:
+    """Whether a remote (url, etag, modified) differs from the cached one; entity tags count before dates."""
+    differs = lambda c: ~cached[c].eqNullSafe(remote[c])
+    known = lambda c: cached[c].isNotNull() | remote[c].isNotNull()
+    return F.when(cached.isNull() | differs("url"), True).when(known("etag"), differs("etag")).otherwise(differs("modified"))
+
+
+def merged_version(preferred: Column, fallback: Column) -> Column:
+    """The preferred version, its missing tag and date taken from the other."""
+    return F.struct(preferred["url"].alias("url"), *(F.coalesce(preferred[c], fallback[c]).alias(c) for c in ("etag", "modified")))
+
+
 __all__ = [x for x in dir() if not x.startswith("_") and x not in ("annotations", "reduce", "Column", "F")]

@@ -89,9 +89,12 @@ def stop_resolution(n):
     return found.groupBy("p_partkey").agg(F.min(F.struct("rank", "stop_index")).alias("m")).select("p_partkey", F.col("m.stop_index").alias("stop_index"))
 
 
-@_query(f"""WITH l AS (SELECT stop_index, count(DISTINCT line_index) AS n_lines FROM d_line_stops GROUP BY 1), t AS (SELECT from_stop AS stop_index, count(*) AS n_walks FROM d_transfers GROUP BY 1),
+STRONG_SQL = f"""WITH l AS (SELECT stop_index, count(DISTINCT line_index) AS n_lines FROM d_line_stops GROUP BY 1), t AS (SELECT from_stop AS stop_index, count(*) AS n_walks FROM d_transfers GROUP BY 1),
 r AS (SELECT DISTINCT s.stop_index FROM d_line_stops s JOIN d_lines USING (line_index) WHERE {_TYPE_SQL.format('route_index')} IN ('Rail', 'Subway'))
-SELECT stop_index, coalesce(n_lines, 0) >= 3 OR coalesce(n_walks, 0) >= 4 OR r.stop_index IS NOT NULL AS strong FROM d_stops LEFT JOIN l USING (stop_index) LEFT JOIN t USING (stop_index) LEFT JOIN r USING (stop_index)""")
+SELECT stop_index, coalesce(n_lines, 0) >= 3 OR coalesce(n_walks, 0) >= 4 OR r.stop_index IS NOT NULL AS strong FROM d_stops LEFT JOIN l USING (stop_index) LEFT JOIN t USING (stop_index) LEFT JOIN r USING (stop_index)"""
+
+
+@_query(STRONG_SQL)
 def strong_anchors(n):
     """P-20: stops with three lines, four walks or a rapid line."""
     served = n["d_line_stops"].join(n["d_lines"], "line_index")

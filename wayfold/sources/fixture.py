@@ -40,6 +40,13 @@ VIEWS = {
     "d_transfers": """SELECT from_stop, to_stop, dur_s, dist_m FROM (
         SELECT from_stop, to_stop, CAST(ceil(d / 1.35) AS INT) AS dur_s, round(d, 3) AS dist_m,
         row_number() OVER (PARTITION BY from_stop ORDER BY ceil(d / 1.35), to_stop) AS r FROM d_pairs WHERE d <= 450) x WHERE r <= 12""",
+    "d_legs": """SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY dep_s, trip_index) AS INT) AS leg_no, kind, from_stop, to_stop,
+        trip_index, board_pos, alight_pos, dep_s, arr_s FROM (SELECT CAST(o_custkey AS INT) AS query_id, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END AS kind,
+        b.stop_index AS from_stop, a.stop_index AS to_stop, b.trip_index, b.pos AS board_pos, a.pos AS alight_pos, b.dep_s, a.arr_s FROM orders
+        JOIN d_stop_times b ON b.trip_index = o_orderkey AND b.pos = o_orderkey % 4 JOIN d_stop_times a ON a.trip_index = o_orderkey AND a.pos = o_orderkey % 4 + 1 + o_orderkey % 3) x""",
+    "d_places": """SELECT query_id, lat + CAST(0.0007 AS DOUBLE) AS lat, lon + CAST(0.0005 AS DOUBLE) AS lon FROM d_queries JOIN d_stops ON stop_index = from_stop""",
+    "d_changes": """SELECT event_id AS sequence, CAST(user_id % n AS INT) AS way_id, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'modify' END AS action
+        FROM events CROSS JOIN d_n""",
 }
 _HAV = "power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2)"
 
