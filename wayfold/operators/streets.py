@@ -31,7 +31,8 @@ def overlay(edges: DataFrame, changes: DataFrame, made: DataFrame) -> DataFrame:
     """Edges after changes: every touched way is blocked, and ways created or modified bring the edges in ``made``."""
     last = latest(changes)
     alive = last.where("action <> 'delete'").select("way_id")
-    return edges.join(last.select("way_id"), "way_id", "left_anti").unionByName(made.join(alive, "way_id", "left_semi"))
+    kept = edges.join(last.select("way_id"), "way_id", "left_anti")
+    return kept.unionByName(made.join(alive, "way_id", "left_semi")).select(*edges.columns)
 
 
 def needed_overrides(base: DataFrame, made: DataFrame) -> DataFrame:

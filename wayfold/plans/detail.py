@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import cells, geo, paths, transit
+from ..functions import cells, geo, osm, paths, transit
 from ..operators import journeys, legs, streets, timetable
-from .features import _PATH, STRONG_SQL, _path, _type, strong_anchors
+from ..sources import gtfs
+from .features import _PATH, STRONG_SQL, _path, strong_anchors
 from .registry import _CELL, _EDGES, _HAV, _INTER, _NEXT, _TIMES, _edges, _near, _next_stops, _query, transfer_topk
 
 _D = f"2 * 6371000.0::DOUBLE * atan2(sqrt({_HAV}), sqrt(1 - ({_HAV})))"
@@ -322,3 +323,56 @@ def leg_json(n):
     """K-09: legs as the interface sends them."""
     body = F.to_json(F.struct("from_stop", "to_stop", F.col("trip_index").alias("trip"), F.col("dep_s").alias("dep"), F.col("arr_s").alias("arr")))
     return n["d_legs"].select("query_id", "leg_no", body.alias("body"))
+
+
+# --- feeds and tags ----------------------------------------------------------------------------------------------
+
+_ON_DAY = "CASE WHEN (n_nationkey >> {}) & 1 = 1 THEN 1 ELSE 0 END"
+
+
+@_query("""WITH w AS (SELECT CAST(n_regionkey AS INT) AS feed_index, CAST(n_nationkey AS VARCHAR) AS service_id, d::DATE AS day, n_nationkey AS k FROM nation, range(DATE '2024-01-01' + CAST(n_nationkey AS INT), DATE '2024-03-01' - CAST(n_nationkey AS INT), INTERVAL 1 DAY) r(d)),
+x AS (SELECT DISTINCT CAST(n_regionkey AS INT) AS feed_index, CAST(n_nationkey AS VARCHAR) AS service_id, DATE '2024-01-10' + CAST(event_id % 40 AS INT) AS day, event_id % 4 AS kind FROM events JOIN nation ON n_nationkey = user_id % 25),
+a AS (SELECT feed_index, service_id, day FROM w WHERE (k >> (isodow(day) - 1)) & 1 = 1 UNION SELECT feed_index, service_id, day FROM x WHERE kind = 1)
+SELECT feed_index, service_id, strftime(day, '%Y-%m-%d') AS service_date FROM a WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.feed_index = a.feed_index AND x.service_id = a.service_id AND x.day = a.day AND kind IN (0, 2))""")
+def feed_calendar(n):
+    """A-05, S-03: services by weekday (the bits of the nation's key), with additions and removals of which 0 means 2 and 3 nothing."""
+    key = F.col("n_nationkey")
+    text = lambda d: F.date_format(d, "yyyyMMdd")
+    on = [F.shiftright(key, i).bitwiseAND(F.lit(1)).cast("int").alias(d) for i, d in enumerate(gtfs._DAYS)]
+    start = F.date_add(F.to_date(F.lit("2024-01-01")), key.cast("int"))
+    end = F.date_sub(F.to_date(F.lit("2024-02-29")), key.cast("int"))
+    feed = [F.col("n_regionkey").cast("int").alias("feed_index"), key.cast("string").alias("service_id")]
+    calendar = n["nation"].select(*feed, *on, text(start).alias("start_date"), text(end).alias("end_date"))
+    day = F.date_add(F.to_date(F.lit("2024-01-10")), (F.col("event_id") % 40).cast("int"))
+    dates = n["events"].join(n["nation"], key == F.col("user_id") % 25).select(*feed, text(day).alias("date"), (F.col("event_id") % 4).cast("int").alias("exception_type"))
+    days = gtfs.service_days(calendar, gtfs.repair_exceptions(dates))
+    return days.select("feed_index", "service_id", F.date_format("service_date", "yyyy-MM-dd").alias("service_date"))
+
+
+_ROADS = ("motorway", "residential", "footway", "primary", "track", "steps", "service", "unclassified")
+_SIGNS = ("50", "30 mph", "none", "70;50", "IT:urban", "5", "400")
+_pick = lambda names, of: "list_element([" + ", ".join(f"'{x}'" for x in names) + f"], CAST({of} AS INT) + 1)"
+_WAYS = f"SELECT p_partkey, {_pick(_ROADS, 'p_partkey % 8')} AS highway, CASE WHEN p_partkey % 3 > 0 THEN {_pick(_SIGNS, 'p_partkey % 7')} END AS maxspeed, CASE WHEN p_partkey % 5 = 0 THEN 'private' END AS access, CASE WHEN p_partkey % 11 = 0 THEN 'no' END AS foot, CASE p_partkey % 6 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' WHEN 2 THEN 'no' END AS oneway, CASE WHEN p_partkey % 13 = 0 THEN 'roundabout' END AS junction, CASE WHEN p_partkey % 4 = 0 THEN ' ' WHEN p_partkey % 4 = 1 THEN ' ' || p_name END AS name, CASE WHEN p_partkey % 2 = 0 THEN 'R' || p_partkey END AS ref FROM part"
+
+
+@_query(f"""SELECT p_partkey, access IS NULL AND foot IS NULL AND highway <> 'motorway' AS walk, access IS NULL AND highway NOT IN ('footway', 'steps') AS drive,
+  CASE WHEN junction IS NOT NULL OR oneway = 'yes' THEN 'forward' WHEN oneway = '-1' THEN 'reverse' ELSE 'forward,reverse' END AS ways, nullif(trim(coalesce(name, ref)), '') AS name,
+  round(CASE maxspeed WHEN '50' THEN 50 / 3.6 WHEN '30 mph' THEN 30 * 0.44704 WHEN '70;50' THEN 70 / 3.6 WHEN '5' THEN 4.0 WHEN '400' THEN 40.0
+    ELSE CASE highway WHEN 'motorway' THEN 33.33 WHEN 'residential' THEN 8.33 WHEN 'primary' THEN 19.44 WHEN 'track' THEN 4.17 WHEN 'service' THEN 5.56 ELSE 11.11 END END, 6) AS speed FROM ({_WAYS})""")
+def street_tags(n):
+    """P-11 .. P-15, P-18, Y-15, Y-28, Y-32: what the tags of a way say."""
+    k, pick = F.col("p_partkey"), lambda names, m: F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % m).cast("int"))
+    name = F.when(k % 4 == 0, " ").when(k % 4 == 1, F.concat(F.lit(" "), "p_name"))
+    tags = {"highway": pick(_ROADS, 8), "maxspeed": F.when(k % 3 > 0, pick(_SIGNS, 7)), "access": F.when(k % 5 == 0, "private"), "foot": F.when(k % 11 == 0, "no"), "junction": F.when(k % 13 == 0, "roundabout")}
+    tags |= {"oneway": F.when(k % 6 == 0, "yes").when(k % 6 == 1, "-1").when(k % 6 == 2, "no"), "name": name, "ref": F.when(k % 2 == 0, F.concat(F.lit("R"), k.cast("string")))}
+    pairs = F.array(*(F.struct(F.lit(t).alias("k"), v.alias("v")) for t, v in tags.items()))
+    w = n["part"].select(k, F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("tags"))
+    t = F.col("tags")
+    return w.select(k, osm.open_to(t, "walk").alias("walk"), osm.open_to(t, "drive").alias("drive"), F.array_join(osm.directions(t, "drive"), ",").alias("ways"), osm.way_name(t).alias("name"), F.round(osm.drive_speed(t), 6).alias("speed"))
+
+
+@_query("SELECT event_id, strftime(DATE '2026-03-28' + CAST(floor(s / 86400.0) AS INT), '%Y-%m-%d') || 'T' || lpad(CAST(m // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(m // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(m % 60 AS VARCHAR), 2, '0') AS clock FROM (SELECT event_id, s, ((s % 86400) + 86400) % 86400 AS m FROM (SELECT event_id, (event_id * 7919) % 300000 - 100000 AS s FROM events))")
+def service_times(n):
+    """F-10: seconds of a service day, before its midnight and past its end too, as texts."""
+    seconds = F.col("event_id") * 7919 % 300000 - 100000
+    return n["events"].select("event_id", geo.service_time(F.to_date(F.lit("2026-03-28")), seconds).alias("clock"))
