@@ -15,7 +15,7 @@ from wayfold.sources.fixture import TABLES
 
 SF = "/root/testdata/sf0.001"
 FAST = ["stops", "lines", "line_stats", "service_days", "stop_cells", "haversine_transfers", "departure_buckets", "delay_propagation", "stop_differences", "profile_pareto", "append_only_merge", "line_modes", "global_ids", "clock_times", "route_labels", "endpoint_kinds", "stop_resolution", "strong_anchors", "trips_of_services", "cell_neighbours", "connectors", "line_turns", "line_lengths", "lookup_buckets", "update_positions", "vehicle_merge", "profile_summary", "profile_merge", "spatial_surface", "mode_filtered_route", "route_overtaking_k2", "route_realtime_k2", "overtaking_ride", "street_forest"]
-DETAIL = ["walk_runs", "profile_insertion", "spatial_insertion", "anchor_expansion", "cacheable_legs", "entity_dictionary", "leg_hydration", "leg_lines", "walk_stitching", "overlay_cells", "line_raster", "way_edges", "street_overlay", "needed_overrides", "street_transfers", "street_routes", "transfer_rebuild", "transfer_tiles", "virtual_stops", "virtual_walks", "nearest_node", "adaptive_connectors", "queued_lines", "egress", "updated_trips", "realtime_flags", "carriage_status", "feed_versions", "realtime_sample", "service_stats", "leg_json", "feed_calendar", "street_tags", "service_times"]
+DETAIL = ["walk_runs", "profile_insertion", "spatial_insertion", "anchor_expansion", "cacheable_legs", "entity_dictionary", "leg_hydration", "leg_lines", "walk_stitching", "overlay_cells", "line_raster", "way_edges", "street_overlay", "needed_overrides", "street_transfers", "street_routes", "transfer_rebuild", "transfer_tiles", "virtual_stops", "virtual_walks", "nearest_node", "adaptive_connectors", "queued_lines", "egress", "updated_trips", "realtime_flags", "carriage_status", "feed_versions", "realtime_sample", "service_stats", "leg_json", "feed_calendar", "street_tags", "service_times", "stop_search_codes", "refreshed_profiles"]
 
 
 @pytest.mark.parametrize("name", FAST + DETAIL)

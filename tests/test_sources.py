@@ -110,3 +110,21 @@ def test_snapshots_replace_whole(spark, tmp_path):
     stream = spark.readStream.schema("id long").parquet(src)
     snapshot.write_snapshots(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert snapshot.read_snapshot(spark, str(tmp_path / "out"), 0).count() == 5
+
+
+def test_snapshots_are_published_whole(spark, tmp_path):
+    out, seen = str(tmp_path / "out"), []
+    with pytest.raises(LookupError):
+        snapshot.read_snapshot(spark, out)
+    spark.range(3).write.parquet(f"{out}/data/0-broken")  # a try that failed before it was published
+    source = str(tmp_path / "in")
+    for i in (1, 2):
+        spark.range(10 * i).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long").parquet(source)
+        note = lambda before, now, epoch: seen.append((epoch, before and before.count(), now.count()))
+        snapshot.write_snapshots(stream, out, str(tmp_path / "cp"), after=note).awaitTermination()
+    assert seen == [(0, None, 10), (1, 10, 20)]
+    assert snapshot.read_snapshot(spark, out).count() == 20
+    assert snapshot.read_snapshot(spark, out, 0).count() == 10
+    with pytest.raises(LookupError):
+        snapshot.read_snapshot(spark, out, 7)

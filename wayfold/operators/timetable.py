@@ -72,11 +72,29 @@ def pareto(profiles: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def search_stops(stops: DataFrame, needle: str, limit: int = 12) -> DataFrame:
-    """Score 0 for an equal id, 2 for a prefix, 3 for a part of the name; the empty needle finds all."""
+    """Score 0 for an equal id, 1 for an equal code, 2 for a prefix of the text to search, 3 for a part of it.
+
+    Equality is with the needle as given, but for case; the rest with its trimmed form. The text is ``search_blob``
+    where the table has it, else the name; codes are compared where it has ``stop_code``. A blank needle finds all
+    with score 0. ``limit`` is brought between 1 and 50.
+    """
     low = needle.strip().lower()
-    name = F.lower("stop_name")
-    score = F.when(F.lit(low == "") | (F.lower(F.col("stop_index").cast("string")) == needle.lower()), 0).when(name.startswith(low), 2).when(name.contains(low), 3)
-    return stops.withColumn("score", score).where("score IS NOT NULL").orderBy("score", "stop_index").limit(limit)
+    text = F.col("search_blob") if "search_blob" in stops.columns else F.lower("stop_name")
+    equals = lambda c: F.lower(F.col(c).cast("string")) == needle.lower()
+    code = equals("stop_code") if "stop_code" in stops.columns else F.lit(False)
+    score = F.when(F.lit(low == "") | equals("stop_index"), 0).when(code, 1).when(text.startswith(low), 2).when(text.contains(low), 3)
+    return stops.withColumn("score", score).where("score IS NOT NULL").orderBy("score", "stop_index").limit(min(max(limit, 1), 50))
+
+
+def updated_trips(deltas: DataFrame) -> DataFrame:
+    """trip_index of trips with a believed delay, a skipped stop, or cancelled."""
+    return deltas.where((F.col("canceled") == 1) | (F.col("skipped") == 1) | (F.abs("delay_s") <= MOST_DELAY_S)).select("trip_index").distinct()
+
+
+def changed_trips(before: DataFrame | None, now: DataFrame) -> DataFrame:
+    """Trips that a refresh may have changed: those updated before it or after it."""
+    after = updated_trips(now)
+    return after if before is None else updated_trips(before).unionByName(after).distinct()
 
 
 def relax(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:

@@ -269,8 +269,9 @@ def egress(n):
 
 @_query("SELECT DISTINCT trip_index FROM d_rt WHERE canceled = 1 OR skipped = 1 OR abs(delay_s) <= 21600")
 def updated_trips(n):
-    """Y-17, U-11, ST-06: trips with a delay that is believed, a skipped stop, or cancelled."""
-    return n["d_rt"].where("canceled = 1 OR skipped = 1 OR abs(delay_s) <= 21600").select("trip_index").distinct()
+    """Y-17, U-11, ST-06: trips with a delay that is believed, a skipped stop, or cancelled, before a refresh (even ones here) or after."""
+    half = F.col("trip_index") % 2 == 0
+    return timetable.changed_trips(n["d_rt"].where(half), n["d_rt"].where(~half))
 
 
 @_query("SELECT trip_index, trip_index IN (SELECT trip_index FROM d_rt) OR trip_index IN (SELECT user_id FROM events) AS has_realtime FROM d_trips")
@@ -376,3 +377,22 @@ def service_times(n):
     """F-10: seconds of a service day, before its midnight and past its end too, as texts."""
     seconds = F.col("event_id") * 7919 % 300000 - 100000
     return n["events"].select("event_id", geo.service_time(F.to_date(F.lit("2026-03-28")), seconds).alias("clock"))
+
+
+_SEARCHED = "SELECT stop_index, stop_name, 'c' || (stop_index % 40) AS stop_code, lower(feed_index || ':' || stop_index || ' ' || 'c' || (stop_index % 40) || ' ' || stop_name) AS search_blob FROM d_stops"
+
+
+@_query(f"""SELECT stop_index, score FROM (SELECT stop_index, CASE WHEN lower(CAST(stop_index AS VARCHAR)) = 'c7' THEN 0 WHEN lower(stop_code) = 'c7' THEN 1 WHEN starts_with(search_blob, 'c7') THEN 2 WHEN contains(search_blob, 'c7') THEN 3 END AS score FROM ({_SEARCHED}))
+WHERE score IS NOT NULL ORDER BY score, stop_index LIMIT 50""")
+def stop_search_codes(n):
+    """T-01, V-03: stops by id, code, then the text of all their names; the limit is the feature."""
+    code = F.concat(F.lit("c"), (F.col("stop_index") % 40).cast("string"))
+    blob = F.lower(F.concat_ws(" ", F.concat_ws(":", "feed_index", "stop_index"), code, "stop_name"))
+    return timetable.search_stops(n["d_stops"].withColumn("stop_code", code).withColumn("search_blob", blob), "C7", 99).select("stop_index", "score")
+
+
+@_query(f"SELECT p.query_id, p.leg_no, p.source, p.legs FROM (SELECT query_id, leg_no, from_stop AS source, CAST(sum(CASE WHEN kind = {journeys.RIDE} THEN 1 ELSE 0 END) OVER ({_ON}) AS INT) AS legs FROM d_legs) p WHERE NOT EXISTS (SELECT 1 FROM d_legs l JOIN d_rt r ON r.trip_index = l.trip_index AND (canceled = 1 OR skipped = 1 OR abs(delay_s) <= 21600) WHERE l.query_id = p.query_id AND l.leg_no >= p.leg_no)")
+def refreshed_profiles(n):
+    """ST-11, U-07: what stays of the profiles after a refresh."""
+    p = legs.profile_points(n["d_legs"]).withColumn("point", F.struct("query_id", "leg_no"))
+    return timetable.invalidate(p, timetable.changed_trips(None, n["d_rt"]), "point", "suffix").select("query_id", "leg_no", "source", "legs")
