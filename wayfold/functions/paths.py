@@ -113,7 +113,7 @@ def directions(points: Column, ways: Column, names: Column) -> Column:
 
 
 def instruction(maneuver: Column, street: Column, destination: Column) -> Column:
-    """The text of a step, in the language that the interface speaks."""
+    """The text of a step; the words are fixed values, in the language that the interface speaks."""
     stem = F.when(maneuver == "depart", "Parti a piedi").when(maneuver == "turn-left", "Svolta a sinistra").when(maneuver == "turn-right", "Svolta a destra").otherwise("Continua dritto")
     goal = F.nullif(F.trim(destination), F.lit(""))
     arrive = F.coalesce(F.concat(F.lit("Arrivo a "), goal), F.lit("Arrivo a destinazione"))
